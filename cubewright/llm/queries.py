@@ -5,9 +5,11 @@ from __future__ import annotations
 from . import oracle
 from .langid import op7_language_id
 from .sharding import op2_sharding
+from .urlfilter import op8_url_filter
 
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op7_language_id": op7_language_id,
+    "op8_url_filter": op8_url_filter,
 }
 ORACLE_SQL = {k: v for k, v in oracle.SQL.items() if k in QUERIES}
