@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import oracle
 from .langid import op7_language_id
+from .quality import op10_quality
 from .sharding import op2_sharding
 from .urlfilter import op8_url_filter
 
@@ -11,5 +12,6 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL = {k: v for k, v in oracle.SQL.items() if k in QUERIES}
