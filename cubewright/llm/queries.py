@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import oracle
+from .decontaminate import op5_decontaminate
 from .langid import op7_language_id
 from .quality import op10_quality
 from .sharding import op2_sharding
@@ -10,6 +11,7 @@ from .urlfilter import op8_url_filter
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op5_decontaminate": op5_decontaminate,
     "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,
     "op10_quality": op10_quality,
