@@ -8,8 +8,10 @@ from .langid import op7_language_id
 from .quality import op10_quality
 from .sharding import op2_sharding
 from .urlfilter import op8_url_filter
+from .warc import op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_sharding": op2_sharding,
     "op5_decontaminate": op5_decontaminate,
     "op7_language_id": op7_language_id,
