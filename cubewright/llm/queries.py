@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import oracle
 from .decontaminate import op5_decontaminate
 from .langid import op7_language_id
+from .partenum import op6_jaccard_join
 from .quality import op10_quality
 from .sharding import op2_sharding
 from .urlfilter import op8_url_filter
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_sharding": op2_sharding,
     "op5_decontaminate": op5_decontaminate,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,
     "op10_quality": op10_quality,
