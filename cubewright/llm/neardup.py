@@ -63,19 +63,46 @@ def packed(sig: np.ndarray, node: np.ndarray, buckets: int) -> Iterator[tuple[in
             yield int(k), tag, np.stack([c[cut[k] : cut[k + 1]] for c in cols]).astype(np.int64).tobytes()
 
 
+def repeats(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of (key, document, place): a row of the least document of each key, sorted; and (document, place, least document) of the other documents."""
+    order = np.lexsort((at, doc, key))
+    key, doc, at = key[order], doc[order], at[order]
+    if not len(key):
+        return key, doc, at, doc, at, doc
+    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    least = np.repeat(doc[begins], np.diff(np.append(begins, len(key))))
+    other = doc != least
+    return key[begins], doc[begins], at[begins], doc[other], at[other], least[other]
+
+
+def packed_repeats(key: np.ndarray, doc: np.ndarray, at: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, tag, binary): tag 3 for keys to be met in the bucket, tag 4 for the places that are done."""
+    key, d, a, *done = repeats(key, doc, at)
+    where = bucket_of(key, buckets)
+    cut = np.searchsorted(where, np.arange(buckets + 1))
+    for k in np.flatnonzero(cut[1:] > cut[:-1]):
+        yield int(k), 3, np.stack([c[cut[k] : cut[k + 1]] for c in (key.view(np.int64), d, a)]).tobytes()
+    if len(done[0]):
+        yield int(done[0][0] % buckets), 4, np.stack(done).tobytes()
+
+
 def exchange(rows: DataFrame, label: str) -> DataFrame:
-    """(tag, x, y, z) from packed rows: tag 1 are (signature, least node, other node), tag 2 whatever was sent as triples of tag 2."""
+    """(tag, x, y, z) from packed rows. Tag 1: (signature, least node, other node), from tags 0 and 1. Tag 2: triples that were sent
+    as such. Tag 4: (document, place, least document with the same key), from tags 3 and 4."""
 
     def meet(table: pa.Table) -> pa.Table:
-        got: dict[int, list[np.ndarray]] = {0: [], 1: [], 2: []}
+        got: dict[int, list[np.ndarray]] = {0: [], 1: [], 2: [], 3: [], 4: []}
         for tag, data in zip(table.column("tag").to_pylist(), table.column("data"), strict=True):
             flat = np.frombuffer(data.as_buffer(), dtype=np.int64)
             got[tag].append(flat.reshape(2 if tag == 0 else 3, -1))
-        out = [(t, np.concatenate(got[t], axis=1)) for t in (1, 2) if got[t]]
+        out = [(t, np.concatenate(got[t], axis=1)) for t in (1, 2, 4) if got[t]]
         if got[0]:
             sig, node = np.concatenate(got[0], axis=1)
             _, _, s, a, b = combine(sig.view(np.uint64), node)
             out.append((1, np.stack([s.view(np.int64), a, b])))
+        if got[3]:
+            key, doc, at = np.concatenate(got[3], axis=1)
+            out.append((4, np.stack(repeats(key, doc, at)[3:])))
         if not out:
             return schema.empty_table()
         tags = np.concatenate([np.full(x.shape[1], t, np.int8) for t, x in out])

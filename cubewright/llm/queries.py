@@ -8,12 +8,14 @@ from .langid import op7_language_id
 from .partenum import op6_jaccard_join
 from .quality import op10_quality
 from .sharding import op2_sharding
+from .substring import op3_substring_dedup
 from .urlfilter import op8_url_filter
 from .warc import op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_sharding": op2_sharding,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_language_id": op7_language_id,

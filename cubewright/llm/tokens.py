@@ -102,6 +102,14 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
+    def part(self, i: int, j: int) -> Words:
+        """The same of documents i to j - 1 alone."""
+        out = object.__new__(Words)
+        own = slice(self.first[i], self.first[j])
+        out.starts, out.ends, out.hash = self.starts[own], self.ends[own], self.hash[own]
+        out.first, out.counts = self.first[i : j + 1] - self.first[i], self.counts[i:j]
+        return out
+
 
 _PLACE = random_words(64, 11) | U(1)
 
