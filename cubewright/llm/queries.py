@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import oracle
 from .decontaminate import op5_decontaminate
 from .langid import op7_language_id
+from .packing import op9_packing
 from .partenum import op6_jaccard_join
 from .quality import op10_quality
 from .sharding import op2_sharding
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,
+    "op9_packing": op9_packing,
     "op10_quality": op10_quality,
 }
 ORACLE_SQL = {k: v for k, v in oracle.SQL.items() if k in QUERIES}
