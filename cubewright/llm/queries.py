@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import oracle
 from .decontaminate import op5_decontaminate
 from .langid import op7_language_id
+from .multiindex import op4_neighbours
 from .packing import op9_packing
 from .partenum import op6_jaccard_join
 from .quality import op10_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_sharding": op2_sharding,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_neighbours": op4_neighbours,
     "op5_decontaminate": op5_decontaminate,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_language_id": op7_language_id,
