@@ -37,8 +37,9 @@ class Dimension:
         return self.mask - (1 if self.nullable else 0)
 
     def encode(self, value: Column) -> Column:
-        """Integers: shift by the base and clamp to the code range."""
-        return F.greatest(F.lit(0), F.least(value.cast("long") - self.base, F.lit(self.max_code))).cast("long")
+        """Integers: shift by the base and clamp to the code range; NULL stays NULL."""
+        code = F.greatest(F.lit(0), F.least(value.cast("long") - self.base, F.lit(self.max_code))).cast("long")
+        return F.when(value.isNotNull(), code)  # greatest and least alone would skip a NULL
 
     def encode_float(self, value: Column) -> Column:
         """Fixed point: scale, cut the fraction off towards zero, then as an integer."""

@@ -12,6 +12,8 @@ from .functions.predicates import Predicate, PredicateSet, any_of, between, eq,
 from .operators import aggregates, analytics, mutations, scan, txn
 from .plans import layout, planner, stats
 from .sources.cube import SCHEMA, cube_view, stored_cube
+from .sources.generators import generate
+from .streaming.append import windowed_sums
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -404,3 +406,18 @@ def _(spark, d):
 @query("cost_estimate", None)
 def _(spark, d):
     return spark.createDataFrame([planner.estimate_cost(stored_cube(spark, d), PredicateSet.of(eq("year", 8), eq("month", 3)))])
+
+
+# streams and generated data
+
+@query(
+    "event_windows",
+    """SELECT window_start, event_type, count(*) n, cast(sum(cast(floor(value * 100) AS bigint)) AS bigint) cents FROM (
+  SELECT event_type, value, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY, date_trunc('day', ts) - INTERVAL 2 DAY]) window_start FROM events) GROUP BY ALL""",
+)
+def _(spark, d):
+    return windowed_sums(spark.read.parquet(f"{d}/events.parquet").select("ts", "event_type", "value"))
+
+
+for _name in ("uniform", "clustered", "skewed", "sequential"):
+    query(f"generate_{_name}", None)(lambda spark, d, name=_name: aggregates.group_sum(generate(spark, name, 100_000, partitions=8), ["year"], "price"))

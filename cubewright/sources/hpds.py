@@ -6,20 +6,22 @@ import json
 import struct
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the format: magic, then the count and (key low, key high, value) as little-endian 64-bit words.
 MAGIC = b"HPDS0001"
-HEADER, RECORD = struct.Struct("<8sQ"), struct.Struct("<QQQ")
+HEADER, RECORD = "<8sQ", "<QQQ"
 
 
 def write_dataset(path: str, records: Iterator[tuple[int, int]], n: int) -> None:
     """Write n records (key of up to 128 bits, value) to one local file."""
     with open(path, "wb") as f:
-        f.write(HEADER.pack(MAGIC, n))
+        f.write(struct.pack(HEADER, MAGIC, n))
         for key, value in records:
-            f.write(RECORD.pack(key & (1 << 64) - 1, key >> 64, value))
+            f.write(struct.pack(RECORD, key & (1 << 64) - 1, key >> 64, value))
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
@@ -29,18 +31,15 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def unpack(batches):
-        import numpy as np
-        import pyarrow as pa
-
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
                 raw = content.as_buffer()
-                magic, n = HEADER.unpack_from(raw) if len(raw) >= HEADER.size else (b"", 0)
+                magic, n = struct.unpack_from(HEADER, raw) if len(raw) >= 16 else (b"", 0)
                 if magic != MAGIC:
                     raise ValueError(f"{name}: no dataset")
-                if len(raw) < HEADER.size + n * RECORD.size:
+                if len(raw) < 16 + 24 * n:
                     raise ValueError(f"{name}: cut short")
-                words = np.frombuffer(raw, dtype="<i8", offset=HEADER.size, count=3 * n).reshape(-1, 3)
+                words = np.frombuffer(raw, dtype="<i8", offset=16, count=3 * n).reshape(-1, 3)
                 for i in range(0, n, 1 << 16):
                     part = words[i : i + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(part[:, j].copy()) for j in range(3)], ["key_lo", "key_hi", "value"])
