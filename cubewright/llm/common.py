@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a session, wherever the driver has it from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cubewright_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="cubewright-")) / "cubewright_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, Path(package.name) / f.relative_to(package))
+    sc.addPyFile(str(target))
+    sc._cubewright_shipped = True
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the cluster; a folder of our own only where none is set (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

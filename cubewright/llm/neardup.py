@@ -121,45 +121,94 @@ def to_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 ROWS_DDL = "bucket int, tag tinyint, data binary"
 
 
-def jaccard_linked(of: np.ndarray, k: int, per_cent: int) -> Callable:
-    """A filter of rows (a, b, text_a, text_b) for mapInArrow: exact Jaccard of the k-word shingle sets, per_cent or more.
-
-    A row whose text is not that of its node (another row of the same id) is left out.
+def shingle_hashes(col: pa.Array, nodes: np.ndarray, of: np.ndarray, k: int) -> dict[int, np.ndarray]:
+    """The sorted shingle hashes of each node; a text that is not its node's (another row of the same id) is left out."""
+    sets: dict[int, np.ndarray] = {}
+    for i, j, buf, offs in chunks(col):
+        doc, h = shingle_sets(Words(buf, offs, of), k)
+        good = node_hash(doc, h, j - i) == nodes[i:j]
+        cut = np.searchsorted(doc, np.arange(j - i + 1))
+        sets |= {int(nodes[i + m]): np.sort(h[cut[m] : cut[m + 1]]) for m in np.flatnonzero(good)}
+    return sets
+
+
+def linked(u: np.ndarray, v: np.ndarray, per_cent: int) -> bool:
+    """Exact Jaccard of two sorted sets."""
+    if 100 * min(len(u), len(v)) < per_cent * max(len(u), len(v)) or not len(u):
+        return False
+    small, large = (u, v) if len(u) <= len(v) else (v, u)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    common = int(np.count_nonzero(large[at] == small))
+    return 100 * common >= per_cent * (len(u) + len(v) - common)
+
+
+def parity_bits(h: np.ndarray) -> bytes:
+    """A bit for each bucket of hashes: whether it holds an odd number of the set's elements; some four buckets an element.
+
+    Where the bits of two sets differ, at least one element is in one set only: the count of such places is a lower bound of the
+    symmetric difference, never an estimate. Bits of more buckets fold into those of fewer by XOR of their halves.
     """
+    m = max(64, 1 << int(4 * len(h) - 1).bit_length())
+    return np.packbits((np.bincount((h & U(m - 1)).astype(np.int64), minlength=m) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """Rows of 64-bit words folded to ``words`` words."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def sketches(texts: DataFrame, of: np.ndarray, k: int) -> DataFrame:
+    """(node, n, bits) of (node, text): set sizes and parity bits. A text that is not its node's is left out."""
 
     def run(batches):
-        for batch in batches:
-            good = []
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            both = pa.concat_arrays([batch.column("text_a").cast(pa.large_string()), batch.column("text_b").cast(pa.large_string())])
-            n = batch.num_rows
-            for first in range(0, n, 400):
-                m = min(400, n - first)
-                sets = []
-                for start in (first, n + first):
-                    docs, hashes = [], []
-                    for i, j, buf, offs in chunks(both.slice(start, m)):
-                        d, h = shingle_sets(Words(buf, offs, of), k)
-                        docs.append(d + i)
-                        hashes.append(h)
-                    d, h = np.concatenate(docs), np.concatenate(hashes)
-                    sets.append((np.bincount(d, minlength=m), node_hash(d, h, m), (d.astype(np.uint64) << U(54)) | (h >> U(10))))
-                (na, ha, ka), (nb, hb, kb) = sets
-                common = np.intersect1d(ka, kb)
-                inter = np.bincount((common >> U(54)).astype(np.int64), minlength=m)
-                ok = (100 * inter >= per_cent * (na + nb - inter)) & (na > 0) & (ha == a[first : first + m]) & (hb == b[first : first + m])
-                good.append(ok)
-            mask = np.concatenate(good) if good else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(mask))
-
-    return run
-
-
-def verified(pairs: DataFrame, texts: DataFrame, check: Callable, label: str) -> DataFrame:
-    """The pairs (a, b) whose texts (node, text) pass ``check``."""
+        for b in batches:
+            sets = shingle_hashes(b.column("text"), b.column("node").to_numpy(), of, k)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sets), pa.int64()), pa.array([len(x) for x in sets.values()], pa.int64()), pa.array([parity_bits(x) for x in sets.values()], pa.binary())], ["node", "n", "bits"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, bits binary")
+
+
+def possible(pairs: DataFrame, bits: DataFrame, per_cent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parity bits do not rule out."""
+    x = bits.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    y = bits.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+
+    def run(batches):
+        for b in batches:
+            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+            ok = 100 * np.minimum(na, nb) >= per_cent * np.maximum(na, nb)
+            most = (100 - per_cent) * (na + nb) // (100 + per_cent)
+            left, right = b.column("ba"), b.column("bb")
+            for i in np.flatnonzero(ok):
+                u, v = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
+                w = min(len(u), len(v))
+                ok[i] = np.bitwise_count(fold(u, w) ^ fold(v, w)).sum() <= most[i]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
+
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, bits: DataFrame, of: np.ndarray, k: int, per_cent: int, label: str) -> DataFrame:
+    """The pairs (a, b) whose texts (node, text) are linked; texts move only for pairs that the parity bits leave."""
+    left = materialize(possible(pairs, bits, per_cent), f"{label}-possible")
     t = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     u = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(t, "a").join(u, "b").select("a", "b", "text_a", "text_b")
+
+    def check(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1000):
+                rows = batch.slice(first, 1000)
+                a, b = (rows.column(c).to_numpy() for c in ("a", "b"))
+                x, y = (shingle_hashes(rows.column(c), n, of, k) for c, n in (("text_a", a), ("text_b", b)))
+                good = [int(i) in x and int(j) in y and linked(x[int(i)], y[int(j)], per_cent) for i, j in zip(a, b, strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    both = left.join(t, "a").join(u, "b").select("a", "b", "text_a", "text_b")
     out = materialize(both.mapInArrow(check, "a long, b long").distinct(), label)
     free_shuffles(pairs.sparkSession)
     return out
@@ -172,38 +221,173 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.filter("la != lb")
 
 
-def linked_components(trees: DataFrame, texts: Callable[[DataFrame], DataFrame], check: Callable) -> DataFrame:
-    """(node, comp) of every node that has a link.
-
-    ``trees`` (sig, a, b): which nodes share a signature, a the least. ``texts`` gives (node, text) for given nodes.
+def _root(parent: list[int], i: int) -> int:
+    while parent[i] != i:
+        parent[i] = parent[parent[i]]
+        i = parent[i]
+    return i
+
+
+def settle(nodes: np.ndarray, sets: list[np.ndarray], sig: np.ndarray, a: np.ndarray, b: np.ndarray, per_cent: int) -> np.ndarray:
+    """The component (least node of it) of each node, from trees (sig, a, b) given as places in ``nodes``; all in memory."""
+    parent = list(range(len(nodes)))
+    tested: set[tuple[int, int]] = set()
+
+    def test(x: int, y: int) -> None:
+        i, j = _root(parent, x), _root(parent, y)
+        if i == j or (x, y) in tested:
+            return
+        tested.add((x, y))
+        if linked(sets[x], sets[y], per_cent):
+            parent[max(i, j)] = min(i, j)
+
+    pairs, count = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_counts=True)
+    for x, y in pairs[np.argsort(-count, kind="stable")].tolist():
+        test(x, y)
+    # signatures whose nodes now lie in several components: all pairs of their nodes across components
+    roots = np.array([_root(parent, i) for i in range(len(nodes))])
+    open_sigs = np.isin(sig, np.unique(sig[roots[a] != roots[b]]))
+    seen: set[tuple[int, ...]] = set()
+    order = np.argsort(sig[open_sigs], kind="stable")
+    s, x, y = sig[open_sigs][order], a[open_sigs][order], b[open_sigs][order]
+    for own in np.split(np.arange(len(s)), np.flatnonzero(s[1:] != s[:-1]) + 1) if len(s) else []:
+        members = tuple(sorted({*x[own].tolist(), *y[own].tolist()}))
+        if members in seen:
+            continue
+        seen.add(members)
+        parts: dict[int, list[int]] = {}
+        for m in members:
+            parts.setdefault(_root(parent, m), []).append(m)
+        groups = list(parts.values())
+        for i, these in enumerate(groups):
+            for those in groups[i + 1 :]:
+                for m in these:
+                    for n in those:
+                        test(min(m, n), max(m, n))
+    out = np.array([_root(parent, i) for i in range(len(nodes))])
+    least = np.full(len(nodes), np.iinfo(np.int64).max)
+    np.minimum.at(least, out, nodes)
+    return least[out]
+
+
+#: A group of candidates up to so many nodes and bytes of text is settled in the memory of one task; larger ones by joins.
+LOCAL_NODES, LOCAL_BYTES = 500, 8 << 20
+
+
+def linked_components(trees: DataFrame, texts: Callable[[DataFrame], DataFrame], of: np.ndarray, k: int, per_cent: int) -> DataFrame:
+    """(node, comp) of every node that has a link: exact Jaccard of k-word shingle sets, per_cent / 100 or more.
+
+    ``trees`` (sig, a, b): which nodes share a signature, a the least. ``texts`` gives (node, text) for given nodes. Nodes that
+    are joined by trees are candidates of one group; its texts and trees meet in one task, or, if it is large, are joined.
     """
-    pairs = materialize(trees.groupBy("a", "b").agg(F.count("*").alias("n")), "nd-pairs")
-    nodes = materialize(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nd-nodes")
-    found = materialize(texts(nodes), "nd-texts")
-    free_shuffles(trees.sparkSession)
+    spark = trees.sparkSession
+    pairs = materialize(trees.select("a", "b").distinct(), "nd-pairs")
+    groups = components(pairs).withColumnRenamed("comp", "grp")
+    found = texts(groups.select("node"))
+    found = materialize(found.join(groups, "node"), "nd-texts")
+    free_shuffles(spark)
+    sizes = found.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    large = materialize(sizes.filter((F.col("n") > LOCAL_NODES) | (F.col("bytes") > LOCAL_BYTES)).select("grp"), "nd-large")
+    n_large = large.count()
+    named = trees.join(groups.select(F.col("node").alias("a"), "grp"), "a")
+    small_texts, small_trees = found, named
+    if n_large:
+        small_texts, small_trees = join_ids(found, large, "grp", "left_anti", n_large), join_ids(named, large, "grp", "left_anti", n_large)
+    total = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = F.lit(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 << 20))))
+
+    def local(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return schema.empty_table()
+        nodes = left.column("node").to_numpy()
+        sets = shingle_hashes(left.column("text").combine_chunks(), nodes, of, k)
+        names = np.array(sorted(sets), np.int64)
+        sig, a, b = (right.column(c).to_numpy() for c in ("sig", "a", "b"))
+        known = np.isin(a, names) & np.isin(b, names)
+        sig, a, b = sig[known], np.searchsorted(names, a[known]), np.searchsorted(names, b[known])
+        comp = settle(names, [sets[int(x)] for x in names], sig, a, b, per_cent)
+        return pa.table({"node": pa.array(names), "comp": pa.array(comp)}, schema=schema)
+
+    schema = pa.schema([("node", pa.int64()), ("comp", pa.int64())])
+    by = F.pmod(F.xxhash64("grp"), tasks)
+    left, right = small_texts.select(by.alias("task"), "node", "text"), small_trees.select(by.alias("task"), "sig", "a", "b")
+    labels = materialize(left.groupBy("task").cogroup(right.groupBy("task")).applyInArrow(local, "node long, comp long"), "nd-local")
+    if n_large:
+        own = materialize(join_ids(named, large, "grp", "left_semi", n_large).select("sig", "a", "b"), "nd-large-trees")
+        labels = labels.unionByName(joined_components(own, join_ids(found, large, "grp", "left_semi", n_large).select("node", "text"), of, k, per_cent))
+    free_shuffles(spark)
+    return labels
+
+
+def joined_components(trees: DataFrame, found: DataFrame, of: np.ndarray, k: int, per_cent: int) -> DataFrame:
+    """The same by joins alone, for groups of any size, from their texts ``found`` (node, text)."""
+    pairs = materialize(trees.groupBy("a", "b").agg(F.count("*").alias("n")), "nd-counted")
+    bits = materialize(sketches(found, of, k), "nd-bits")
     # most members are settled by the node with which they share the most signatures
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
     tried = materialize(best.select("a", "b"), "nd-best")
-    links = verified(tried, found, check, "nd-links")
+    links = verified(tried, found, bits, of, k, per_cent, "nd-links")
     labels = components(links)
     rest = materialize(_labelled(pairs, labels).select("a", "b").join(tried, ["a", "b"], "left_anti"), "nd-rest")
     if not rest.isEmpty():
-        links = links.unionByName(verified(rest, found, check, "nd-links2"))
+        links = links.unionByName(verified(rest, found, bits, of, k, per_cent, "nd-links2"))
         tried = tried.unionByName(rest)
         labels = components(links)
     open_pairs = materialize(_labelled(pairs, labels).select("a", "b"), "nd-open")
     if open_pairs.isEmpty():
         return labels
     n = open_pairs.count()
-    # signatures whose nodes lie in several components: all pairs across components
+    # signatures whose nodes lie in several components: all their nodes, by pairs of blocks
     sigs = (trees.join(F.broadcast(open_pairs), ["a", "b"], "left_semi") if n <= 500_000 else trees.join(open_pairs, ["a", "b"], "left_semi")).select("sig").distinct()
     sigs = materialize(sigs, "nd-sigs")
     own = join_ids(trees, sigs, "sig", "left_semi")
-    members = own.select("sig", F.col("b").alias("node")).unionByName(own.select("sig", F.col("a").alias("node"))).distinct()
-    members = materialize(members.join(labels, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp")), "nd-members")
-    l, r = members.select("sig", F.col("node").alias("a"), F.col("comp").alias("ca")), members.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    cross = l.join(r, "sig").filter("a < b and ca != cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    cross = materialize(cross, "nd-cross")
-    if cross.isEmpty():
-        return labels
-    return components(links.unionByName(verified(cross, found, check, "nd-links3")))
+    members = own.select(F.col("a").alias("node")).unionByName(own.select(F.col("b").alias("node"))).distinct()
+    members = members.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    cross = materialize(across(members.join(bits, "node"), per_cent).join(tried, ["a", "b"], "left_anti"), "nd-cross")
+    return components(links.unionByName(verified(cross, found, bits, of, k, per_cent, "nd-links3")))
+
+
+#: Nodes of a block in ``across``; two blocks meet in a task, by their parity bits alone.
+BLOCK_NODES_ACROSS, BLOCK_BYTES_ACROSS = 4000, 16 << 20
+
+
+def across(members: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of ``members`` (node, comp, n, bits) in different components that the parity bits leave possible.
+
+    Nodes are dealt into blocks by hash; each pair of blocks is one task, which looks at all their pairs and gives out the few
+    that are left. Only parity bits move, some half a byte an element.
+    """
+    size = members.agg(F.count("*"), F.sum(F.octet_length("bits"))).first()
+    blocks = max(1, -(-size[0] // BLOCK_NODES_ACROSS), -(-(size[1] or 0) // BLOCK_BYTES_ACROSS))
+    m = members.withColumn("own", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    m = m.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "bits")
+
+    def meet(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        own, node, comp, n = (table.column(c).to_numpy() for c in ("own", "node", "comp", "n"))
+        raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("bits")]
+        width = np.array([len(x) for x in raw])
+        by = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
+        tables = {w: np.stack([raw[x] for x in at]) for w, at in by.items()}
+        out: list[np.ndarray] = []
+        for w, at in by.items():
+            for v in (w, 2 * w):  # sizes within the threshold's ratio are at most one doubling apart
+                if v not in by:
+                    continue
+                there = by[v]
+                wide = fold(tables[v], w)
+                for x, bits in zip(at, tables[w], strict=True):
+                    if (i != j and v == w and own[x] != i) or (i == j and own[x] != i):
+                        continue
+                    ok = (comp[there] != comp[x]) & (100 * np.minimum(n[x], n[there]) >= per_cent * np.maximum(n[x], n[there]))
+                    ok &= (own[there] != own[x]) if i != j else True
+                    ok &= (there > x) if v == w and i == j else True
+                    pick = np.flatnonzero(ok)
+                    if len(pick):
+                        apart = np.bitwise_count(wide[pick] ^ bits).sum(axis=1, dtype=np.int64)
+                        pick = pick[apart <= (100 - per_cent) * (n[x] + n[there[pick]]) // (100 + per_cent)]
+                        out.append(np.stack([np.full(len(pick), node[x]), node[there[pick]]]))
+        a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return m.groupBy("i", "j").applyInArrow(meet, "a long, b long")

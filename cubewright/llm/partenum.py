@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buckets_for, join_ids, materialize
-from .neardup import NO_ID, ROWS_DDL, exchange, jaccard_linked, linked_components, node_hash, packed, to_rows
+from .neardup import NO_ID, ROWS_DDL, exchange, linked_components, node_hash, packed, to_rows
 from .tokens import NOT_SPACE, Words, chunks, mix, shingle_sets
 
 U = np.uint64
@@ -19,15 +19,16 @@ class PartEnum:
 
     Sets fall into bands by the larger set's size; a set also takes part in the bands above its own in which it could be the
     smaller one. In a band of sizes up to M, linked sets differ in at most k = 2M(100 - t) / (100 + t) elements. The domain is
-    cut into n1 = k div 2 + 1 + spare parts, each into two halves. Of the n1 parts at most k div 2 hold two differences or
-    more; in each other one, the subset of its two halves that has no difference is the same in both sets: every half is a
-    signature. An empty half says nothing and is left out. Two linked sets can only miss each other if each has empty halves
-    in ``spare + 1`` parts; such sets are signed again with another cut of the domain, up to ``SEEDS`` times, and sets that
-    have too many empty halves in all of them share one last signature a band. Equal sets are one node and need none.
+    cut into parts, each into two halves, N halves in all. Of the parts at most k div 2 hold two differences or more; in each
+    other one, the subset of its two halves that has no difference is the same in both sets: every half is a signature. An
+    empty half says nothing and is left out. At most k halves hold a difference, so two linked sets agree in N - k halves or
+    more and can only miss each other if each has that many empty ones. Such sets are signed again with another cut of the
+    domain, up to ``SEEDS`` times, and sets that have too many empty halves in all of them share one last signature a band.
+    N - k grows with k as the number of empty halves does, so that few sets need that. Equal sets are one node and need none.
     """
 
-    def __init__(self, per_cent: int, spare: int = 3, ratio: float = 1.25):
-        self.t, self.spare = per_cent, spare
+    def __init__(self, per_cent: int, ratio: float = 1.35):
+        self.t = per_cent
         low, lows = 1, []
         while low < 1 << 40:
             lows.append(low)
@@ -35,6 +36,12 @@ class PartEnum:
         self.lows = np.array(lows, dtype=np.int64)
         most = self.lows[1:] - 1
         self.k = 2 * most * (100 - per_cent) // (100 + per_cent)
+        # the smallest set of a band has so many elements for each of k differences; so large a share of its halves stays empty
+        least, share = per_cent * (100 + per_cent) / (200 * (100 - per_cent) * ratio), 0.0
+        for _ in range(20):
+            share = (1 + share) * np.exp(-least / (1 + share))
+        spare = 2 + share * self.k + 2 * np.sqrt(share * self.k)
+        self.parts = (self.k + 1 + spare.astype(np.int64) + 1) // 2
 
     def bands(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For sets of sizes n: (index of the set, band) of all bands it takes part in where sets can differ."""
@@ -55,8 +62,7 @@ class PartEnum:
         for seed in range(SEEDS):
             if not len(which):
                 break
-            half_k = self.k[band] // 2
-            parts = 2 * (half_k + 1 + self.spare)
+            parts = 2 * self.parts[band]
             base = np.concatenate([[0], np.cumsum(parts)])
             count = size[which]
             owner = np.repeat(np.arange(len(which)), count)
@@ -77,8 +83,7 @@ class PartEnum:
             some = filled > 0
             out_set.append(which[member[some]])
             out_sig.append(sig[some])
-            empty = ~some[0::2] | ~some[1::2]  # parts of two halves lie next to each other
-            bad = np.bincount(member[0::2][empty], minlength=len(which)) > self.spare
+            bad = np.bincount(member[~some], minlength=len(which)) >= parts - self.k[band]
             which, band = which[bad], band[bad]
         out_set.append(which)
         out_sig.append(mix((band.astype(np.uint64) << U(40)) + U(0xFFFF)))
@@ -133,7 +138,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, per_cent: int = 85) -> DataF
         reps = join_ids(found.filter("doc_id is not null"), nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
         return join_ids(own, materialize(reps, "pe-reps"), "doc_id", "inner").select("node", "text")
 
-    labels = linked_components(trees, texts, jaccard_linked(NOT_SPACE, k, per_cent))
+    labels = linked_components(trees, texts, NOT_SPACE, k, per_cent)
     return _with_components(found, labels)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buckets_for, free_shuffles, join_ids, materialize
-from .neardup import ROWS_DDL, exchange, jaccard_linked, linked_components, node_hash, packed, packed_repeats, to_rows
+from .neardup import ROWS_DDL, exchange, linked_components, node_hash, packed, packed_repeats, to_rows
 from .tokens import NOT_SPACE, Words, chunks, mix, random_words, shingle_sets, window_hashes
 
 U = np.uint64
@@ -136,7 +136,7 @@ def find_repeats(docs: DataFrame, min_words: int = 50, k: int = 5, per_cent: int
         reps = materialize(reps.select("node", "r.*"), "ss-reps")
         return join_ids(own, reps, "doc_id", "inner").select("node", "text", "first", "last").mapInArrow(_cut_out, "node long, text string")
 
-    labels = linked_components(trees, texts, jaccard_linked(NOT_SPACE, k, per_cent))
+    labels = linked_components(trees, texts, NOT_SPACE, k, per_cent)
     named = materialize(lines.join(labels, "node", "left").select("doc_id", "first", "last", F.coalesce("comp", "node").alias("comp")), "ss-named")
     least = materialize(named.groupBy("comp").agg(F.min("doc_id").alias("seen_in"), F.max("doc_id").alias("most")).filter("seen_in < most").drop("most"), "ss-least")
     by_line = join_ids(named, least, "comp", "inner").filter("doc_id > seen_in").select("doc_id", "first", "last", "seen_in", F.lit("paragraph").alias("kind"))
@@ -231,7 +231,8 @@ def stage_substrings(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated paragraphs and passages are cut out of the texts; every document stays. A changed text's n_chars is counted anew."""
     name = "ranges" + "_" * max(len(c) for c in docs.columns)
     at = _with_ranges(docs, find_repeats(docs), name)
-    out = at.mapInArrow(lambda it: _rewrite(it, [*docs.columns, name], "text", name, False), at.schema)
+    columns = [*docs.columns, name]
+    out = at.mapInArrow(lambda it: _rewrite(it, columns, "text", name, False), at.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(name) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
