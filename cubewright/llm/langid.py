@@ -85,7 +85,7 @@ def profiles(labelled: DataFrame, top: int = 300) -> dict[str, list[int]]:
                 for name in names:
                     if own := [p for i, p in enumerate(parts) if langs[first + i] == name]:
                         _, gram, n = gram_counts([np.concatenate([x for p in own for x in (p, np.array([_BOUND], np.uint32))])])
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram)), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
 
     grams = labelled.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -152,15 +152,17 @@ def classify(docs: DataFrame, known: dict[str, list[int]], top: int = 300) -> Da
 
 
 def learn(docs: DataFrame, each: int = 2000, top: int = 300) -> dict[str, list[int]]:
-    """Profiles from at most ``each`` documents of a language, those of least hash of the id; never from the held-out fold.
+    """Profiles from some ``each`` documents of a language (all, if there are fewer); never from the held-out fold.
 
-    The bound is on what the profiles are fitted on. Rows of null lang, null id or null text teach nothing.
+    A language's documents are drawn by a hash of the id against ``each`` over their count, so the draw needs no sort and is
+    the same however the rows lie. The bound is on what the profiles are fitted on. Rows of null lang, null id or null text
+    teach nothing.
     """
-    ids = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id")
-    ids = ids.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= each).select("doc_id").distinct()
-    rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    return profiles(rows.join(F.broadcast(ids), "doc_id", "left_semi"), top)  # ids: `each` for each language
+    own = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"))
+    counts = docs.select("doc_id", "lang").filter(own).groupBy("lang").agg(F.count("*").alias("of"))
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30)) * F.col("of") < F.lit(each << 30)
+    rows = docs.select("doc_id", "lang", "text").filter(own & F.col("text").isNotNull())
+    return profiles(rows.join(F.broadcast(counts), "lang").filter(drawn), top)  # counts: one row a language
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_fold
@@ -151,21 +151,22 @@ class Gam:
 
 
 def learn(docs: DataFrame, labels: DataFrame, each: int = 10_000) -> Gam:
-    """Fit on at most ``each`` labelled rows of either class, those of least hash of the id; never from the held-out fold.
+    """Fit on some ``each`` labelled rows of either class (all, if there are fewer), drawn by a hash of the id; never from the held-out fold.
 
     Only features reach the driver. Labels of null id or of another value than 0 and 1 teach nothing.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"))).distinct()
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = known.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= each).select("doc_id", "quality")
+    counts = known.groupBy("quality").agg(F.count("*").alias("of"))  # two rows
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("of") < F.lit(each << 30)
+    known = known.join(F.broadcast(counts), "quality").filter(drawn).select("doc_id", "quality")
 
     def rows(batches):
         for b in batches:
             x = features(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")  # known: 2 * each rows at most
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")  # known: some 2 * each rows
     got = own.mapInArrow(rows, "doc_id long, quality int, x array<double>").toPandas().sort_values(["doc_id", "quality"], kind="stable")
     x = np.array(got["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     return Gam().fit(x, got["quality"].to_numpy(dtype=float))
