@@ -43,7 +43,9 @@ class Cube:
 
     @property
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/base")
+        key = "BIGINT" if self.schema.total_bits <= 63 else "BINARY"
+        columns = [*(f"{d} BIGINT" for d in self.schema.names), "value BIGINT", f"key {key}", "block_id INT"]
+        return self.spark.read.schema(", ".join(columns)).parquet(f"{self.path}/base")  # no job to read footers
 
     @property
     def stats(self) -> DataFrame:
@@ -64,7 +66,7 @@ def bulk_load(rows: DataFrame, schema: CubeSchema, path: str, profile: str = "ba
     Equal keys are kept; with ``dedup`` the row of the greatest ``seq`` stays for each key. Blocks are ranges of keys, so a
     query on leading dimensions reads few of them.
     """
-    rows = rows.select(*schema.names, "value").withColumn("key", schema.key())
+    rows = rows.select(*[F.col(c).cast("long").alias(c) for c in (*schema.names, "value")]).withColumn("key", schema.key())
     if dedup:
         last = Window.partitionBy("key").orderBy(F.desc(seq))
         rows = rows.withColumn("_rn", F.row_number().over(last)).filter("_rn = 1").drop("_rn")
