@@ -314,13 +314,13 @@ def linked_components(trees: DataFrame, texts: Callable[[DataFrame], DataFrame],
     labels = materialize(left.groupBy("task").cogroup(right.groupBy("task")).applyInArrow(local, "node long, comp long"), "nd-local")
     if n_large:
         own = materialize(join_ids(named, large, "grp", "left_semi", n_large).select("sig", "a", "b"), "nd-large-trees")
-        labels = labels.unionByName(joined_components(own, join_ids(found, large, "grp", "left_semi", n_large).select("node", "text"), of, k, per_cent))
+        labels = labels.unionByName(joined_components(own, join_ids(found, large, "grp", "left_semi", n_large).select("node", "text", "grp"), of, k, per_cent))
     free_shuffles(spark)
     return labels
 
 
 def joined_components(trees: DataFrame, found: DataFrame, of: np.ndarray, k: int, per_cent: int) -> DataFrame:
-    """The same by joins alone, for groups of any size, from their texts ``found`` (node, text)."""
+    """The same by joins alone, for groups of any size, from their texts ``found`` (node, text, grp)."""
     pairs = materialize(trees.groupBy("a", "b").agg(F.count("*").alias("n")), "nd-counted")
     bits = materialize(sketches(found, of, k), "nd-bits")
     # most members are settled by the node with which they share the most signatures
@@ -336,12 +336,10 @@ def joined_components(trees: DataFrame, found: DataFrame, of: np.ndarray, k: int
     open_pairs = materialize(_labelled(pairs, labels).select("a", "b"), "nd-open")
     if open_pairs.isEmpty():
         return labels
-    n = open_pairs.count()
-    # signatures whose nodes lie in several components: all their nodes, by pairs of blocks
-    sigs = (trees.join(F.broadcast(open_pairs), ["a", "b"], "left_semi") if n <= 500_000 else trees.join(open_pairs, ["a", "b"], "left_semi")).select("sig").distinct()
-    sigs = materialize(sigs, "nd-sigs")
-    own = join_ids(trees, sigs, "sig", "left_semi")
-    members = own.select(F.col("a").alias("node")).unionByName(own.select(F.col("b").alias("node"))).distinct()
+    # groups with nodes of one signature in several components: all their nodes, by pairs of blocks
+    of_group = found.select("node", "grp")
+    still = open_pairs.join(of_group, F.col("a") == F.col("node")).select("grp").distinct()
+    members = of_group.join(still, "grp", "left_semi").select("node")
     members = members.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
     cross = materialize(across(members.join(bits, "node"), per_cent).join(tried, ["a", "b"], "left_anti"), "nd-cross")
     return components(links.unionByName(verified(cross, found, bits, of, k, per_cent, "nd-links3")))
