@@ -47,7 +47,8 @@ def fingerprints(w: Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     least, span = h.copy(), 1
     while span < AMONG:  # least of the next AMONG windows
         shift = min(span, AMONG - span)
-        least[: n - shift] = np.minimum(least[: n - shift], least[shift:])
+        stop = max(n - shift, 0)
+        least[:stop] = np.minimum(least[:stop], least[shift:])
         span += shift
     # a window is chosen if it is the least of some AMONG consecutive ones that lie in one document
     whole = np.arange(n) + WINDOW + AMONG - 1 <= doc_end

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cubewright.llm import decontaminate, langid, multiindex, neardup, packing, partenum, quality, queries, sharding, substring, urlfilter, warc
+from cubewright.llm import decontaminate, langid, multiindex, neardup, packing, partenum, quality, queries, sharding, substring, tokens, urlfilter, warc
 from tests_llm_help import ALNUM, SPACED, groups, same, shingles, words
 
 
@@ -140,6 +140,15 @@ def test_substrings_odd(odd_docs, no_docs):
     assert substring.dedup_substrings(no_docs).count() == 0
 
 
+def test_substrings_of_one_short_document(spark):
+    for n in range(1, 40):
+        w = tokens.Words(np.frombuffer(b"word " * n, np.uint8), np.array([0, 5 * n]), tokens.NOT_SPACE)
+        assert len(substring.fingerprints(w, w.first)[0]) <= n
+    for n in (15, 18, 30):
+        row = substring.dedup_substrings(spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(n)))], "doc_id long, text string").coalesce(1)).first()
+        assert (row["n_words"], row["n_removed"]) == (n, 0)
+
+
 # 4
 
 
