@@ -64,7 +64,9 @@ def packed(sig: np.ndarray, node: np.ndarray, buckets: int) -> Iterator[tuple[in
 
 
 def repeats(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of (key, document, place): a row of the least document of each key, sorted; and (document, place, least document) of the other documents."""
+    """Of (key, document, place): all places of the least document of each key, sorted; and (document, place, least document) of the other documents.
+
+    A document of another task may be less than this least one, whose places are then all repeats; so none of them may be left out."""
     order = np.lexsort((at, doc, key))
     key, doc, at = key[order], doc[order], at[order]
     if not len(key):
@@ -72,7 +74,7 @@ def repeats(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
     begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     least = np.repeat(doc[begins], np.diff(np.append(begins, len(key))))
     other = doc != least
-    return key[begins], doc[begins], at[begins], doc[other], at[other], least[other]
+    return key[~other], doc[~other], at[~other], doc[other], at[other], least[other]
 
 
 def packed_repeats(key: np.ndarray, doc: np.ndarray, at: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:

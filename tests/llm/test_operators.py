@@ -149,6 +149,23 @@ def test_substrings_of_one_short_document(spark):
         assert (row["n_words"], row["n_removed"]) == (n, 0)
 
 
+def test_substrings_do_not_depend_on_partitions(spark):
+    import random
+
+    rng = random.Random(2)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    passage = fresh(80)
+    texts = {1: f"{fresh(30)} {passage} {fresh(30)} {passage}", 5: " ".join(f"{fresh(20)} {passage}" for _ in range(3)), 7: f"{passage} {fresh(40)}"}
+    got = []
+    for parts in ([[1, 5, 7]], [[5, 7], [1]], [[5], [7], [1]]):
+        rows = spark.sparkContext.parallelize([[(i, texts[i]) for i in p] for p in parts], len(parts)).flatMap(lambda p: p)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert docs.rdd.getNumPartitions() == len(parts)
+        got.append({r["doc_id"]: (r["n_removed"], r["text"]) for r in substring.dedup_substrings(docs).collect()})
+    assert got[0] == got[1] == got[2]
+    assert got[0][1][0] == 0 and got[0][5][0] >= 3 * 62 and got[0][7][0] >= 62
+
+
 # 4
 
 
