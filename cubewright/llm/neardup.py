@@ -63,40 +63,72 @@ def packed(sig: np.ndarray, node: np.ndarray, buckets: int) -> Iterator[tuple[in
             yield int(k), tag, np.stack([c[cut[k] : cut[k + 1]] for c in cols]).astype(np.int64).tobytes()
 
 
-def repeats(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of (key, document, place): all places of the least document of each key, sorted; and (document, place, least document) of the other documents.
-
-    A document of another task may be less than this least one, whose places are then all repeats; so none of them may be left out."""
-    order = np.lexsort((at, doc, key))
-    key, doc, at = key[order], doc[order], at[order]
-    if not len(key):
-        return key, doc, at, doc, at, doc
-    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    least = np.repeat(doc[begins], np.diff(np.append(begins, len(key))))
-    other = doc != least
-    return key[~other], doc[~other], at[~other], doc[other], at[other], least[other]
-
-
-def packed_repeats(key: np.ndarray, doc: np.ndarray, at: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, tag, binary): tag 3 for keys to be met in the bucket, tag 4 for the places that are done."""
-    key, d, a, *done = repeats(key, doc, at)
-    where = bucket_of(key, buckets)
-    cut = np.searchsorted(where, np.arange(buckets + 1))
-    for k in np.flatnonzero(cut[1:] > cut[:-1]):
-        yield int(k), 3, np.stack([c[cut[k] : cut[k + 1]] for c in (key.view(np.int64), d, a)]).tobytes()
-    if len(done[0]):
-        yield int(done[0][0] % buckets), 4, np.stack(done).tobytes()
+def earlier(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each (key, document), the least document that has the key."""
+    least = doc.copy()
+    if len(key):
+        order = np.argsort(key, kind="stable")
+        begins = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        least[order] = np.repeat(np.minimum.reduceat(doc[order], begins), np.diff(np.append(begins, len(key))))
+    return least
+
+
+def _cuts(at: np.ndarray, *same: np.ndarray) -> np.ndarray:
+    """Where runs of consecutive places begin, in each of which the other columns are the same; and the end."""
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1] + 1
+    for c in same:
+        new[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(new), len(at))
+
+
+def ranges(doc: np.ndarray, at: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Rows of (document, first << 32 | last, least document) for runs [first, last) of places."""
+    cut = _cuts(at, doc, by)
+    begin = cut[:-1]
+    first = at[begin]
+    return np.stack([doc[begin], (first << 32) | (first + np.diff(cut)), by[begin]])
+
+
+def packed_repeats(key: np.ndarray, leader: np.ndarray, doc: np.ndarray, at: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, tag, binary): tag 3 for keys to be met in the bucket of their leader, tag 4 for the ranges that are done.
+
+    Places are in the order of the texts. Keys with the same leader are runs of places: a run is sent once, with its keys. All
+    places of a key's least document are sent, since a document of another task may be less.
+    """
+    least = earlier(key, doc)
+    done, left = doc != least, doc == least
+    key, where, d, a = key[left], bucket_of(leader[left], buckets), doc[left], at[left]
+    cut = _cuts(a, d, where)
+    begin, count = cut[:-1], np.diff(cut)
+    order = np.argsort(where[begin], kind="stable")
+    begin, count = begin[order], count[order]
+    own = np.searchsorted(where[begin], np.arange(buckets + 1))
+    for k in np.flatnonzero(own[1:] > own[:-1]):
+        b, n = begin[own[k] : own[k + 1]], count[own[k] : own[k + 1]]
+        keys = key[np.repeat(b - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        yield int(k), 3, np.concatenate([[len(b)], d[b], a[b], n, keys.view(np.int64)]).astype(np.int64).tobytes()
+    if done.any():
+        yield int(doc[done][0] % buckets), 4, ranges(doc[done], at[done], least[done]).tobytes()
+
+
+def _unpacked(flat: np.ndarray) -> np.ndarray:
+    """(key, document, place) of the runs of one binary of tag 3."""
+    m = int(flat[0])
+    doc, first, count = flat[1 : 1 + 3 * m].reshape(3, m)
+    keys = flat[1 + 3 * m :]
+    return np.stack([keys, np.repeat(doc, count), np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(keys))])
 
 
 def exchange(rows: DataFrame, label: str) -> DataFrame:
     """(tag, x, y, z) from packed rows. Tag 1: (signature, least node, other node), from tags 0 and 1. Tag 2: triples that were sent
-    as such. Tag 4: (document, place, least document with the same key), from tags 3 and 4."""
+    as such. Tag 4: (document, first << 32 | last, an earlier document with the same keys) for ranges of places, from tags 3 and 4."""
 
     def meet(table: pa.Table) -> pa.Table:
         got: dict[int, list[np.ndarray]] = {0: [], 1: [], 2: [], 3: [], 4: []}
         for tag, data in zip(table.column("tag").to_pylist(), table.column("data"), strict=True):
             flat = np.frombuffer(data.as_buffer(), dtype=np.int64)
-            got[tag].append(flat.reshape(2 if tag == 0 else 3, -1))
+            got[tag].append(_unpacked(flat) if tag == 3 else flat.reshape(2 if tag == 0 else 3, -1))
         out = [(t, np.concatenate(got[t], axis=1)) for t in (1, 2, 4) if got[t]]
         if got[0]:
             sig, node = np.concatenate(got[0], axis=1)
@@ -104,7 +136,9 @@ def exchange(rows: DataFrame, label: str) -> DataFrame:
             out.append((1, np.stack([s.view(np.int64), a, b])))
         if got[3]:
             key, doc, at = np.concatenate(got[3], axis=1)
-            out.append((4, np.stack(repeats(key, doc, at)[3:])))
+            least = earlier(key, doc)
+            other = doc != least
+            out.append((4, ranges(doc[other], at[other], least[other])))
         if not out:
             return schema.empty_table()
         tags = np.concatenate([np.full(x.shape[1], t, np.int8) for t, x in out])

@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from .common import buckets_for, free_shuffles, join_ids, materialize
 from .neardup import ROWS_DDL, exchange, linked_components, node_hash, packed, packed_repeats, to_rows
-from .tokens import NOT_SPACE, Words, chunks, mix, random_words, shingle_sets, window_hashes
+from .tokens import NOT_SPACE, Words, chunks, mix, random_words, run_hashes, shingle_sets, window_hashes
 
 U = np.uint64
 #: Bands and rows of the MinHash: two paragraphs of Jaccard 0.8 share a band with probability 1 - (1 - 0.8**3)**14 > 0.9999.
 BANDS, ROWS = 14, 3
 _FLIP, _TIMES = random_words(BANDS * ROWS, 31), random_words(BANDS * ROWS, 37) | U(1)
-#: Passages are found by 16-word windows: of each 10 consecutive ones the least hash is a fingerprint, so that any passage of 25
-#: words gives the same fingerprint wherever it stands, and all but 9 words at either end of a passage are covered.
-WINDOW, AMONG = 16, 10
+#: Runs of words meet in the bucket of their least WINDOW-word window, which neighbouring runs mostly share.
+WINDOW = 16
+#: Runs of words that a map task compares at a time.
+MOST_RUNS = 1 << 21
 
 
 def band_signatures(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,30 +36,20 @@ def band_signatures(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.tile(doc[begins], BANDS), np.concatenate(sigs)
 
 
-def fingerprints(w: Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, index of the first word) of the chosen windows; ``first``: each document's first word, and the end."""
-    h = window_hashes(w.hash, WINDOW)
+def fingerprints(w: Words, first: np.ndarray, length: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, least window in it, index of its first word) of each ``length`` words of a document; ``first``: each document's first word, and the end."""
+    h = run_hashes(w.hash, length)
     n = len(h)
     if not n:
-        return h, np.zeros(0, np.int64)
-    doc_end = np.repeat(first[1:], np.diff(first))[:n]
-    inside = np.arange(n) + WINDOW <= doc_end
-    h = np.where(inside, h, np.iinfo(np.uint64).max)
-    least, span = h.copy(), 1
-    while span < AMONG:  # least of the next AMONG windows
-        shift = min(span, AMONG - span)
-        stop = max(n - shift, 0)
-        least[:stop] = np.minimum(least[:stop], least[shift:])
+        return h, h, np.zeros(0, np.int64)
+    least, span = window_hashes(w.hash, min(WINDOW, length)), 1
+    among = len(least) - n + 1
+    while span < among:
+        shift = min(span, among - span)
+        least = np.minimum(least[:-shift], least[shift:])
         span += shift
-    # a window is chosen if it is the least of some AMONG consecutive ones that lie in one document
-    whole = np.arange(n) + WINDOW + AMONG - 1 <= doc_end
-    wanted = np.where(whole, least, 0)  # no hash is looked for where the run is not whole
-    reach = wanted.copy()
-    chosen = inside & (wanted == h)
-    for back in range(1, AMONG):
-        chosen[back:] |= inside[back:] & (reach[:-back] == h[back:]) & whole[:-back]
-    at = np.flatnonzero(chosen)
-    return h[at], at
+    at = np.flatnonzero(np.arange(n) + length <= np.repeat(first[1:], np.diff(first))[:n])
+    return h[at], least[at], at
 
 
 def _paragraphs(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -74,8 +65,8 @@ def find_repeats(docs: DataFrame, min_words: int = 50, k: int = 5, per_cent: int
 
     ``paragraph``: lines of at least ``min_words`` words. Lines whose sets of k-word shingles collide in a MinHash band are
     verified by exact Jaccard (``per_cent`` / 100 or more) and clustered by components; a cluster stays in its least document.
-    ``passage``: runs of words that stand in an earlier document too, wherever in its lines, found by fingerprints. A run of
-    covered words counts if the passage around it can be of ``min_words`` words.
+    ``passage``: every run of ``min_words`` words or more that stands in an earlier document too, wherever in its lines, from its
+    first to its last word; a shorter one never. ``seen_in`` is an earlier document that has all of it, not always the least.
 
     Null id or null text: nothing is found there. Rows that share an id are one document. Empty table: no rows. Other columns
     are not looked at.
@@ -86,7 +77,7 @@ def find_repeats(docs: DataFrame, min_words: int = 50, k: int = 5, per_cent: int
     def sign(batches):
         for b in batches:
             ids = b.column("doc_id").to_numpy()
-            sigs, nodes, found, keys, key_docs, key_at = [], [], [], [], [], []
+            rows, sigs, nodes, found, runs, held = [], [], [], [], [], 0
             seen = np.zeros(0, np.int64)
             for start, stop, buf, offs in chunks(b.column("text")):
                 lines = _paragraphs(buf, offs)
@@ -94,11 +85,13 @@ def find_repeats(docs: DataFrame, min_words: int = 50, k: int = 5, per_cent: int
                     continue
                 w = Words(buf, lines, NOT_SPACE)
                 first = w.first[np.searchsorted(lines, offs)]
-                fp, at = fingerprints(w, first)
+                fp, leader, at = fingerprints(w, first, min_words)
                 d = np.searchsorted(first, at, side="right") - 1
-                keys.append(fp)
-                key_docs.append(ids[start:stop][d])
-                key_at.append(at - first[d])
+                runs.append((fp, leader, ids[start:stop][d], at - first[d]))
+                held += len(fp)
+                if held >= MOST_RUNS:
+                    rows += packed_repeats(*map(np.concatenate, zip(*runs, strict=True)), buckets)
+                    runs, held = [], 0
                 for i in range(0, len(lines) - 1, 1000):
                     j = min(i + 1000, len(lines) - 1)
                     own_lines = w.part(i, j)
@@ -120,8 +113,10 @@ def find_repeats(docs: DataFrame, min_words: int = 50, k: int = 5, per_cent: int
                     sigs.append(sig)
                     nodes.append(node[which])
                     seen = np.union1d(seen, node[new])
-            if keys:
-                rows = [*packed(np.concatenate(sigs), np.concatenate(nodes), buckets), *packed_repeats(np.concatenate(keys), np.concatenate(key_docs), np.concatenate(key_at), buckets)]
+            if runs:
+                rows += packed_repeats(*map(np.concatenate, zip(*runs, strict=True)), buckets)
+            if found:
+                rows += packed(np.concatenate(sigs), np.concatenate(nodes), buckets)
                 done = np.concatenate(found, axis=1)
                 if done.shape[1]:
                     rows.append((int(done[1, 0] % buckets), 2, done.tobytes()))
@@ -142,19 +137,20 @@ def find_repeats(docs: DataFrame, min_words: int = 50, k: int = 5, per_cent: int
     least = materialize(named.groupBy("comp").agg(F.min("doc_id").alias("seen_in"), F.max("doc_id").alias("most")).filter("seen_in < most").drop("most"), "ss-least")
     by_line = join_ids(named, least, "comp", "inner").filter("doc_id > seen_in").select("doc_id", "first", "last", "seen_in", F.lit("paragraph").alias("kind"))
 
-    covered = min_words - 2 * (AMONG - 1) + 1
-
     def merge(table: pa.Table) -> pa.Table:
-        doc, at, by = (table.column(c).to_numpy() for c in ("doc_id", "first", "seen_in"))
-        order = np.lexsort((at, doc))
-        doc, at, by = doc[order], at[order], by[order]
-        cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + WINDOW)]))
-        end = np.append(cut[1:], len(doc)) - 1
-        first, last = at[cut], at[end] + WINDOW
-        good = last - first >= covered
-        return pa.table({"doc_id": doc[cut][good], "first": first[good], "last": last[good], "seen_in": np.minimum.reduceat(by, cut)[good] if len(cut) else by})
-
-    places = met.filter("tag = 4").select(F.col("x").alias("doc_id"), F.col("y").alias("first"), F.col("z").alias("seen_in"), F.pmod(F.xxhash64("x"), F.lit(buckets)).alias("bucket"))
+        doc, by, at = (table.column(c).to_numpy() for c in ("doc_id", "seen_in", "at"))
+        order = np.lexsort((at, by, doc))
+        doc, by, first = doc[order], by[order], at[order] >> 32
+        last = (at[order] & ((1 << 32) - 1)) + min_words - 1
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (by[1:] != by[:-1])
+        group = np.cumsum(new) << 33
+        reach = np.maximum.accumulate(group + last) - group  # rows of one id can give the same range twice
+        new[1:] |= first[1:] > reach[:-1]
+        cut = np.flatnonzero(new)
+        return pa.table({"doc_id": doc[cut], "first": first[cut], "last": reach[np.append(cut[1:], len(doc)) - 1], "seen_in": by[cut]})
+
+    places = met.filter("tag = 4").select(F.col("x").alias("doc_id"), F.col("y").alias("at"), F.col("z").alias("seen_in"), F.pmod(F.xxhash64("x"), F.lit(buckets)).alias("bucket"))
     passages = places.groupBy("bucket").applyInArrow(merge, "doc_id long, first long, last long, seen_in long")
     return by_line.unionByName(passages.withColumn("kind", F.lit("passage")))
 

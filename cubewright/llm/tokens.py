@@ -125,6 +125,18 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
+def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """The same for any ``k``, at a cost that doesn't grow with it."""
+    n = len(words)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    power, inverse = _powers(n + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(words * power[:n], out=sums[1:])
+        return mix((sums[k:] - sums[:-k]) * inverse[: n - k + 1])
+
+
 def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct k-word shingles of each document, as (document, hash) in the order of the documents.
 

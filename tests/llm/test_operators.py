@@ -166,6 +166,31 @@ def test_substrings_do_not_depend_on_partitions(spark):
     assert got[0][1][0] == 0 and got[0][5][0] >= 3 * 62 and got[0][7][0] >= 62
 
 
+def test_passages_are_cut_at_their_ends(spark):
+    import random
+
+    rng = random.Random(3)
+    fresh = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+    pieces = [fresh(n) for n in (49, 50, 51, 63, 45, 120)]
+    texts = {i: fresh(10) for i in range(1, 30)}
+    for i in range(1, 30):
+        for _ in range(4):
+            piece = rng.choice(pieces)
+            a = rng.choice([0, 0, rng.randrange(20)])
+            texts[i] += piece[a:] + fresh(rng.choice([0, 1, 30]))
+    got = {r["doc_id"]: r for r in substring.dedup_substrings(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()}
+    least = {}
+    for i, t in texts.items():
+        for a in range(len(t) - 49):
+            least.setdefault(tuple(t[a : a + 50]), i)
+    for i, t in texts.items():
+        gone = {p for a in range(len(t) - 49) if least[tuple(t[a : a + 50])] < i for p in range(a, a + 50)}
+        # near copies of whole lines are none here: every text is one line with words of its own
+        assert {p for r in got[i]["removed"] or () if r["kind"] == "passage" for p in range(r["first"], r["last"])} == gone
+        for r in got[i]["removed"] or ():
+            assert r["kind"] != "passage" or (r["last"] - r["first"] >= 50 and r["seen_in"] < i)
+
+
 # 4
 
 
