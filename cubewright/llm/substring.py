@@ -18,7 +18,7 @@ _FLIP, _TIMES = random_words(BANDS * ROWS, 31), random_words(BANDS * ROWS, 37) |
 #: Runs of words meet in the bucket of their least WINDOW-word window, which neighbouring runs mostly share.
 WINDOW = 16
 #: Runs of words that a map task compares at a time.
-MOST_RUNS = 1 << 21
+MOST_RUNS = 1 << 18
 
 
 def band_signatures(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
