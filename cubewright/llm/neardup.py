@@ -98,7 +98,7 @@ def packed_repeats(key: np.ndarray, leader: np.ndarray, doc: np.ndarray, at: np.
     """
     least = earlier(key, doc)
     done, left = doc != least, doc == least
-    key, where, d, a = key[left], bucket_of(leader[left], buckets), doc[left], at[left]
+    key, where, d, a = key[left], bucket_of(mix(leader[left]), buckets), doc[left], at[left]  # the least of many hashes has no even high bits
     cut = _cuts(a, d, where)
     begin, count = cut[:-1], np.diff(cut)
     order = np.argsort(where[begin], kind="stable")
