@@ -29,7 +29,7 @@ STAGES = [
     ("packing", _shipped(stage_packing)),
 ]
 
-#: SQL can't express the stages; tests hold them against brute force.
+#: SQL can't express the stages; tests hold the operators below them against brute force, not the stages.
 ORACLE_SQL = None
 
 
