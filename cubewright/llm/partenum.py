@@ -155,7 +155,10 @@ def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of least id; five-word shingles, Jaccard 0.8 or more. Rows without an id stay."""
+    """One document of each group stays, the one of least id; five-word shingles, Jaccard 0.8 or more. Rows without an id stay.
+
+    Rows go by doc_id alone: if two share an id and one text is a copy of an earlier document's, both go; repeated rows of an id that stays all stay.
+    """
     gone = jaccard_components(docs, k=5, per_cent=80).filter("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
     gone = materialize(gone, "pe-gone")
     few = gone.count() <= 500_000
