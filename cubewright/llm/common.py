@@ -46,7 +46,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` wrote and nothing reads any more. Other DataFrames, and None, are left alone."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            remove_path(t.sparkSession, path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

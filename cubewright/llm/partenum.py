@@ -6,12 +6,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, join_ids, materialize
-from .neardup import NO_ID, ROWS_DDL, exchange, linked_components, node_hash, packed, to_rows
+from .common import BROADCAST_ROWS, buckets_for, discard, free_shuffles, join_ids, materialize, ship
+from .neardup import NO_ID, ROWS_DDL, exchange, linked_components, node_hash, node_rows, packed, to_rows
 from .tokens import NOT_SPACE, Words, chunks, mix, shingle_sets
 
 U = np.uint64
 SEEDS = 6
+#: Signatures that a map task packs at a time.
+MOST_SIGNATURES = 1 << 20
 
 
 class PartEnum:
@@ -19,12 +21,14 @@ class PartEnum:
 
     Sets fall into bands by the larger set's size; a set also takes part in the bands above its own in which it could be the
     smaller one. In a band of sizes up to M, linked sets differ in at most k = 2M(100 - t) / (100 + t) elements. The domain is
-    cut into parts, each into two halves, N halves in all. Of the parts at most k div 2 hold two differences or more; in each
-    other one, the subset of its two halves that has no difference is the same in both sets: every half is a signature. An
-    empty half says nothing and is left out. At most k halves hold a difference, so two linked sets agree in N - k halves or
-    more and can only miss each other if each has that many empty ones. Such sets are signed again with another cut of the
-    domain, up to ``SEEDS`` times, and sets that have too many empty halves in all of them share one last signature a band.
-    N - k grows with k as the number of empty halves does, so that few sets need that. Equal sets are one node and need none.
+    cut into n1 partitions of three parts each, and every subset of two of the three is a signature: a hash of all elements the
+    set has in it. (Where k is 1, one partition is enough: two parts of one partition hold no difference. Where k is 0, linked
+    sets are equal; equal sets are one node and need no signature.) A partition with no difference gives three equal subsets, one
+    with one difference gives one, so at least 2 n1 - k subsets (3 n1 - 2 k, if k < n1) are equal in linked sets.
+
+    An empty subset says nothing and is left out; both sets of a pair leave out the same ones. A set with fewer empty subsets
+    than are sure to be equal so shares another one with every set it is linked to. Others, few by the choice of n1, are signed
+    again with another cut of the domain, up to ``SEEDS`` times, and sets for which that never helps share one signature a band.
     """
 
     def __init__(self, per_cent: int, ratio: float = 1.35):
@@ -36,12 +40,21 @@ class PartEnum:
         self.lows = np.array(lows, dtype=np.int64)
         most = self.lows[1:] - 1
         self.k = 2 * most * (100 - per_cent) // (100 + per_cent)
-        # the smallest set of a band has so many elements for each of k differences; so large a share of its halves stays empty
-        least, share = per_cent * (100 + per_cent) / (200 * (100 - per_cent) * ratio), 0.0
-        for _ in range(20):
-            share = (1 + share) * np.exp(-least / (1 + share))
-        spare = 2 + share * self.k + 2 * np.sqrt(share * self.k)
-        self.parts = (self.k + 1 + spare.astype(np.int64) + 1) // 2
+        least = np.maximum(1, self.lows[:-1] * per_cent // 100)  # of the sets that take part
+        self.parts = np.array([self._partitions(int(k), int(n)) for k, n in zip(self.k, least, strict=True)], np.int64)
+        self.sure = np.where(self.k < self.parts, 3 * self.parts - 2 * self.k, 2 * self.parts - self.k)
+
+    @staticmethod
+    def _partitions(k: int, least: int) -> int:
+        """So many that the smallest set is seldom left with too many empty subsets; twice what is needed at most."""
+        need = max(1, k // 2 + 1)
+        n1 = need
+        while n1 < 2 * need:
+            empty = 3 * n1 * np.exp(-2 * least / (3 * n1))
+            if empty + 2 * np.sqrt(3 * empty) < (3 * n1 - 2 * k if k < n1 else 2 * n1 - k):
+                break
+            n1 += max(1, n1 // 64)
+        return n1
 
     def bands(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For sets of sizes n: (index of the set, band) of all bands it takes part in where sets can differ."""
@@ -62,28 +75,32 @@ class PartEnum:
         for seed in range(SEEDS):
             if not len(which):
                 break
-            parts = 2 * self.parts[band]
-            base = np.concatenate([[0], np.cumsum(parts)])
+            n1 = self.parts[band]
+            base = np.concatenate([[0], np.cumsum(3 * n1)])
             count = size[which]
             owner = np.repeat(np.arange(len(which)), count)
             at = np.repeat(begin[which] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
             x = mix(h[at] + U(seed * 0x9E3779B1 + 1))
-            part = ((x >> U(32)) * parts[owner].astype(np.uint64)) >> U(32)
-            flat = base[owner] + part.astype(np.int64)
-            y = mix(x)
+            flat = base[owner] + (((x >> U(32)) * (3 * n1[owner]).astype(np.uint64)) >> U(32)).astype(np.int64)
             total = base[-1]
             filled = np.bincount(flat, minlength=total)
-            low = np.bincount(flat, weights=(y & U(0xFFFFFFFF)).astype(np.float64), minlength=total).astype(np.uint64)
-            high = np.bincount(flat, weights=(y >> U(32)).astype(np.float64), minlength=total).astype(np.uint64)
-            member = np.repeat(np.arange(len(which)), parts)
-            number = np.arange(total) - base[member]
+            order = np.argsort(flat, kind="stable")
             with np.errstate(over="ignore"):
-                place = mix((band[member].astype(np.uint64) << U(40)) + (number.astype(np.uint64) << U(3)) + U(seed))
-                sig = mix(low + (high << U(32)) + place)
-            some = filled > 0
-            out_set.append(which[member[some]])
-            out_sig.append(sig[some])
-            bad = np.bincount(member[~some], minlength=len(which)) >= parts - self.k[band]
+                sums = np.zeros(len(x) + 1, np.uint64)
+                np.cumsum(mix(x)[order], out=sums[1:])
+                end = np.cumsum(filled)
+                part = sums[end] - sums[end - filled]
+                member = np.repeat(np.arange(len(which)), 3 * n1)
+                number = np.arange(total) - base[member]
+                part = mix(part + mix((band[member].astype(np.uint64) << U(40)) + (number.astype(np.uint64) << U(3)) + U(seed)))
+                empty = np.zeros(len(which), np.int64)
+                for i, j in ((0, 1), (0, 2), (1, 2)):
+                    some = filled[i::3] + filled[j::3] > 0
+                    of = member[::3]
+                    out_set.append(which[of[some]])
+                    out_sig.append(mix(part[i::3][some] * U(3) + part[j::3][some]))
+                    empty += np.bincount(of[~some], minlength=len(which))
+            bad = empty >= self.sure[band]
             which, band = which[bad], band[bad]
         out_set.append(which)
         out_sig.append(mix((band.astype(np.uint64) << U(40)) + U(0xFFFF)))
@@ -101,14 +118,15 @@ def jaccard_components(docs: DataFrame, k: int = 4, per_cent: int = 85) -> DataF
     Repeated rows each get a row. Empty table: no rows. Other columns are not looked at. Copies are one node, so their number
     adds nothing but their own rows.
     """
+    ship(docs.sparkSession)
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    buckets = buckets_for(own)
+    buckets = buckets_for(own, 4 << 20)
     scheme = PartEnum(per_cent)
 
     def sign(batches):
         for b in batches:
             ids = b.column("doc_id").fill_null(NO_ID).to_numpy()
-            sigs, nodes, counts = [], [], []
+            sigs, nodes, counts, rows, held = [], [], [], [], 0
             seen = np.zeros(0, np.int64)
             for first, last, buf, offs in chunks(b.column("text")):
                 doc, h = shingle_sets(Words(buf, offs, NOT_SPACE), k)
@@ -122,32 +140,43 @@ def jaccard_components(docs: DataFrame, k: int = 4, per_cent: int = 85) -> DataF
                 new &= (node != 0) & (ids[first:last] != NO_ID) & ~np.isin(node, seen)
                 keep = new[doc]
                 which, sig = scheme.sign(doc[keep], h[keep], n)
+                rows += node_rows(node, doc, h, new, buckets)
                 sigs.append(sig)
                 nodes.append(node[which])
                 seen = np.union1d(seen, node[new])
+                held += len(sig)
+                if held >= MOST_SIGNATURES:
+                    yield to_rows([*rows, *packed(np.concatenate(sigs), np.concatenate(nodes), buckets)])
+                    sigs, nodes, rows, held = [], [], [], 0
             if counts:
                 done = np.concatenate(counts, axis=1)
-                at = int(abs(int(done[0, 0])) % buckets)
-                yield to_rows([(at, 2, done.astype(np.int64).tobytes()), *packed(np.concatenate(sigs), np.concatenate(nodes), buckets)])
+                rows.append((int(abs(int(done[0, 0])) % buckets), 2, done.astype(np.int64).tobytes()))
+                yield to_rows([*rows, *(packed(np.concatenate(sigs), np.concatenate(nodes), buckets) if sigs else ())])
 
     met = exchange(own.mapInArrow(sign, ROWS_DDL), "pe-met")
     found = met.filter("tag = 2").select(F.when(F.col("x") != NO_ID, F.col("x")).alias("doc_id"), F.col("y").alias("n_shingles"), F.col("z").alias("node"))
-    trees = met.filter("tag = 1").select(F.col("x").alias("sig"), F.col("y").alias("a"), F.col("z").alias("b"))
+    sets = met.filter("tag = 1").select(F.col("x").alias("sid"), "data")
+    bits = materialize(met.filter("tag = 5").groupBy(F.col("x").alias("node")).agg(F.first("y").alias("n"), F.first("data").alias("bits")), "pe-bits")
+    found = materialize(found, "pe-found")
 
     def texts(nodes: DataFrame) -> DataFrame:
-        reps = join_ids(found.filter("doc_id is not null"), nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        reps = join_ids(found.filter("doc_id is not null"), nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
         return join_ids(own, materialize(reps, "pe-reps"), "doc_id", "inner").select("node", "text")
 
-    labels = linked_components(trees, texts, NOT_SPACE, k, per_cent)
-    return _with_components(found, labels)
+    labels = linked_components(sets, bits, texts, NOT_SPACE, k, per_cent)
+    discard(met, bits)
+    out = _with_components(found, labels)
+    discard(labels)
+    return out
 
 
 def _with_components(found: DataFrame, labels: DataFrame) -> DataFrame:
     alone = found.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     full = found.filter("n_shingles > 0 and doc_id is not null").join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp"))
-    full = materialize(full, "pe-labelled")
+    full, none = materialize(full, "pe-labelled"), materialize(alone, "pe-alone")
+    discard(found)
     least = materialize(full.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "pe-least")
-    return full.join(least, "comp").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    return full.join(least, "comp").select("doc_id", "n_shingles", "component_id").unionByName(none)
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
@@ -159,7 +188,9 @@ def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows go by doc_id alone: if two share an id and one text is a copy of an earlier document's, both go; repeated rows of an id that stays all stay.
     """
-    gone = jaccard_components(docs, k=5, per_cent=80).filter("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    name = "gone" + "_" * max([0, *(len(c) for c in docs.columns)])
+    gone = jaccard_components(docs, k=5, per_cent=80).filter("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
     gone = materialize(gone, "pe-gone")
-    few = gone.count() <= 500_000
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    free_shuffles(spark)
+    few = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")

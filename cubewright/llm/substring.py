@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, free_shuffles, join_ids, materialize
-from .neardup import ROWS_DDL, exchange, linked_components, node_hash, packed, packed_repeats, to_rows
+from .common import buckets_for, discard, free_shuffles, join_ids, materialize, ship
+from .neardup import ROWS_DDL, exchange, linked_components, node_hash, node_rows, packed, packed_repeats, to_rows
 from .tokens import NOT_SPACE, Words, chunks, mix, random_words, run_hashes, shingle_sets, window_hashes
 
 U = np.uint64
@@ -71,6 +71,7 @@ def find_repeats(docs: DataFrame, min_words: int = 50, k: int = 5, per_cent: int
     Null id or null text: nothing is found there. Rows that share an id are one document. Empty table: no rows. Other columns
     are not looked at.
     """
+    ship(docs.sparkSession)
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).filter("doc_id is not null")
     buckets = buckets_for(own)
 
@@ -109,6 +110,7 @@ def find_repeats(docs: DataFrame, min_words: int = 50, k: int = 5, per_cent: int
                     new[lead] = True
                     new &= long & ~np.isin(node, seen)
                     keep = new[line]
+                    rows += node_rows(node, line, h, new, buckets)
                     which, sig = band_signatures(line[keep], h[keep])
                     sigs.append(sig)
                     nodes.append(node[which])
@@ -125,15 +127,18 @@ def find_repeats(docs: DataFrame, min_words: int = 50, k: int = 5, per_cent: int
     met = exchange(own.mapInArrow(sign, ROWS_DDL), "ss-met")
     free_shuffles(docs.sparkSession)
     lines = met.filter("tag = 2").select(F.col("x").alias("node"), F.col("y").alias("doc_id"), F.shiftright("z", 32).alias("first"), F.col("z").bitwiseAND((1 << 32) - 1).alias("last"))
-    trees = met.filter("tag = 1").select(F.col("x").alias("sig"), F.col("y").alias("a"), F.col("z").alias("b"))
+    sets = met.filter("tag = 1").select(F.col("x").alias("sid"), "data")
+    bits = materialize(met.filter("tag = 5").groupBy(F.col("x").alias("node")).agg(F.first("y").alias("n"), F.first("data").alias("bits")), "ss-bits")
 
     def texts(nodes: DataFrame) -> DataFrame:
-        reps = join_ids(lines, nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "first", "last")).alias("r"))
+        reps = join_ids(lines, nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "first", "last")).alias("r"))
         reps = materialize(reps.select("node", "r.*"), "ss-reps")
         return join_ids(own, reps, "doc_id", "inner").select("node", "text", "first", "last").mapInArrow(_cut_out, "node long, text string")
 
-    labels = linked_components(trees, texts, NOT_SPACE, k, per_cent)
+    labels = linked_components(sets, bits, texts, NOT_SPACE, k, per_cent)
+    discard(bits)
     named = materialize(lines.join(labels, "node", "left").select("doc_id", "first", "last", F.coalesce("comp", "node").alias("comp")), "ss-named")
+    discard(labels)
     least = materialize(named.groupBy("comp").agg(F.min("doc_id").alias("seen_in"), F.max("doc_id").alias("most")).filter("seen_in < most").drop("most"), "ss-least")
     by_line = join_ids(named, least, "comp", "inner").filter("doc_id > seen_in").select("doc_id", "first", "last", "seen_in", F.lit("paragraph").alias("kind"))
 
@@ -152,7 +157,10 @@ def find_repeats(docs: DataFrame, min_words: int = 50, k: int = 5, per_cent: int
 
     places = met.filter("tag = 4").select(F.col("x").alias("doc_id"), F.col("y").alias("at"), F.col("z").alias("seen_in"), F.pmod(F.xxhash64("x"), F.lit(buckets)).alias("bucket"))
     passages = places.groupBy("bucket").applyInArrow(merge, "doc_id long, first long, last long, seen_in long")
-    return by_line.unionByName(passages.withColumn("kind", F.lit("passage")))
+    out = materialize(by_line.unionByName(passages.withColumn("kind", F.lit("passage"))), "ss-found")
+    discard(met, named, least)
+    free_shuffles(docs.sparkSession)
+    return out
 
 
 def _cut_out(batches):
@@ -169,7 +177,7 @@ def _cut_out(batches):
 
 def _rewrite(batches, columns: list[str], text: str, ranges: str, stats: bool):
     """Cut the word ranges out of the texts, each with the white space behind it."""
-    for b in batches:
+    for b in (batch.slice(i, 1000) for batch in batches for i in range(0, batch.num_rows, 1000)):
         todo = b.column(ranges).to_pylist()
         col = b.column(text)
         new, words, gone = [], [], []
@@ -202,6 +210,7 @@ def _rewrite(batches, columns: list[str], text: str, ranges: str, stats: bool):
 def _with_ranges(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
     lists = found.groupBy(F.col("doc_id").alias(f"{name}_id")).agg(F.sort_array(F.collect_list(F.struct("first", "last", "seen_in", "kind"))).alias(name))  # a document's own ranges
     lists = materialize(lists, "ss-lists")
+    discard(found)
     few = lists.count() <= 200_000
     return docs.join(F.broadcast(lists) if few else lists, docs["doc_id"].cast("long") == F.col(f"{name}_id"), "left").drop(f"{name}_id")
 

@@ -6,6 +6,7 @@ single document. A null text is an empty one.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,6 @@ def random_words(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(seed * 2654435761 + 1))
 
 
-_BYTE = random_words(256, 7)
 _BASE = 0x2545F4914F6CDD1D | 1
 _POW = np.ones(1, dtype=np.uint64)
 _INV = np.ones(1, dtype=np.uint64)
@@ -51,6 +51,30 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW, _INV
 
 
+#: Words of more blocks of eight bytes are hashed one by one.
+_BLOCKS = 8
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 7) -> np.ndarray:
+    """A 64-bit hash of each byte span: blocks of eight bytes, each mixed into what the blocks before it gave."""
+    size = ends - starts
+    blocks = np.concatenate([buf, np.zeros(8, np.uint8)])
+    at = np.ndarray(shape=(len(buf) + 1,), dtype="<u8", buffer=blocks.data, strides=(1,))  # the eight bytes from every place on
+    h = mix(size.astype(np.uint64) * U(0x9E3779B97F4A7C15) + random_words(1, seed)[0])
+    left = np.arange(len(size))
+    with np.errstate(over="ignore"):
+        for j in range(_BLOCKS):
+            left = left[size[left] > 8 * j]
+            if not len(left):
+                break
+            rest = np.minimum(size[left] - 8 * j, 8).astype(np.uint64)
+            block = at[starts[left] + 8 * j] & (U(0xFFFFFFFFFFFFFFFF) >> (U(64) - U(8) * rest))
+            h[left] = mix((h[left] ^ block) * U(0x9FB21C651E98DF25) + U(j + 1))
+    for i in left[size[left] > 8 * _BLOCKS] if len(left) else ():
+        h[i] = np.frombuffer(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.to_bytes(4, "little")).digest(), np.uint64)[0]
+    return h
+
+
 def arrow_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, and the offsets of each (one more than there are texts)."""
     if isinstance(col, pa.ChunkedArray):
@@ -93,11 +117,8 @@ class Words:
         self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
-        power, inverse = _powers(n + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[LOWER[buf]] * power[:n], out=sums[1:])
-            self.hash = mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+        self.lowered = LOWER[buf]
+        self.hash = word_hashes(self.lowered, self.starts, self.ends)
 
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
@@ -105,6 +126,7 @@ class Words:
     def part(self, i: int, j: int) -> Words:
         """The same of documents i to j - 1 alone."""
         out = object.__new__(Words)
+        out.lowered = self.lowered
         own = slice(self.first[i], self.first[j])
         out.starts, out.ends, out.hash = self.starts[own], self.ends[own], self.hash[own]
         out.first, out.counts = self.first[i : j + 1] - self.first[i], self.counts[i:j]
@@ -156,9 +178,14 @@ def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
                 m = int(n[s])
                 extra[i] = (w.hash[w.first[s] : w.first[s] + m] * _PLACE[:m]).sum() + U(m)
         d, h = np.concatenate([d, short]), np.concatenate([h, mix(extra)])
-    # the document goes into the ten highest bits, 54 bits of the hash below: one sort finds the distinct ones
-    key = (d.astype(np.uint64) << U(54)) | (h >> U(10))
-    key.sort()
-    if len(key):
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    return (key >> U(54)).astype(np.int64), mix(key & U((1 << 54) - 1))
+    # the document goes into the ten highest bits, most of the hash below: one sort puts equal ones together
+    order = np.argsort((d.astype(np.uint64) << U(54)) | (h >> U(10)))
+    d, h = d[order], h[order]
+    same = (d[1:] == d[:-1]) & (h[1:] >> U(10) == h[:-1] >> U(10))
+    if (same & (h[1:] != h[:-1])).any():
+        order = np.lexsort((h, d))
+        d, h = d[order], h[order]
+        same = (d[1:] == d[:-1]) & (h[1:] == h[:-1])
+    new = np.ones(len(d), bool)
+    new[1:] = ~same
+    return d[new], h[new]

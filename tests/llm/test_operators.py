@@ -304,13 +304,15 @@ def test_jaccard(spark, docs):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {i: (len(sets[i]), want[i]) for i in sets}
 
 
-@pytest.mark.parametrize("limit", [500, 0])
+@pytest.mark.parametrize("limit", [16 << 20, 0])
 def test_jaccard_near_the_threshold(spark, monkeypatch, limit):
-    """Chains of edited texts of many sizes, settled in memory and by joins."""
+    """Chains of edited texts of many sizes; compared in memory, and by joins with sets looked at one by one over many rounds."""
     import random
 
-    monkeypatch.setattr(neardup, "LOCAL_NODES", limit)
-    monkeypatch.setattr(neardup, "BLOCK_NODES_ACROSS", 25)
+    monkeypatch.setattr(neardup, "LOCAL_BYTES", limit)
+    if not limit:
+        for name, value in (("SMALL_SET", 2), ("HUBS", 1), ("PAIRS_A_NODE", 1), ("PAIRS_AT_ONCE", 7)):
+            monkeypatch.setattr(neardup, name, value)
     rng = random.Random(4)
     texts = {}
     for n in (1, 2, 5, 8, 12, 20, 33, 60, 140, 300):
@@ -342,6 +344,22 @@ def test_signatures_are_shared_by_all_similar_sets():
                 assert len(np.intersect1d(sx, sy))
 
 
+def thue_morse(a, b, doublings=10):
+    """A word and its complement that sums of powers of an odd base can't tell apart modulo 2**64."""
+    word = a
+    for _ in range(doublings):
+        word += word.translate(str.maketrans(a + b, b + a))
+    return word, word.translate(str.maketrans(a + b, b + a))
+
+
+def test_long_words_do_not_collide(spark):
+    x, y = thue_morse("a", "b")
+    rows = spark.createDataFrame([(1, x), (2, y), (3, x)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in partenum.jaccard_components(rows).collect()} == {1: 1, 2: 2, 3: 1}
+    found = {r["doc_id"]: r["n_hit"] for r in decontaminate.report(rows, spark.createDataFrame([("i", y)], "item_id string, text string")).collect()}
+    assert found == {1: 0, 2: 1, 3: 0}
+
+
 def test_jaccard_odd(odd_docs, no_docs):
     rows = partenum.jaccard_components(odd_docs).collect()
     assert len(rows) == 12
@@ -418,6 +436,79 @@ def test_templates_learn_from_labels(spark):
     assert [got[i]["verdict"] for i in (400, 401, 402)] == ["block", "allow", "allow"] and got[400]["rule"] is None
 
 
+def plain_shape(seg):
+    import re
+
+    varies = (r"[0-9]+(\.[A-Za-z0-9]{1,5})?", r"[0-9]{1,4}([-_.][0-9]{1,4})+", r"(?=.*[0-9])[0-9a-fA-F-]{8,}(\.[A-Za-z0-9]{1,5})?", r".*[0-9]{3,}.*")
+    return "*" if any(re.fullmatch(p, seg) for p in varies) else seg
+
+
+def plain_form(path):
+    import re
+
+    segs = re.split("/+", path.strip("/"))
+    last = segs[-1]
+    tests = (("none", last == ""), ("number", re.fullmatch("[0-9]+", last)), ("numbered file", re.fullmatch(r"[0-9]+\.[A-Za-z0-9]{1,5}", last)), ("file", re.search(r"\.[A-Za-z0-9]{1,5}$", last)), ("mixed", re.search("[0-9]", last)))
+    return min(len(segs), 4), next((name for name, hit in tests if hit), "word"), path.endswith("/")
+
+
+def plain_templates(rows, depth=3):
+    """{(host, path): (template parts, block share)} of (host, path, ruled), a host, a level and a parent at a time."""
+    import re
+    from collections import Counter
+
+    leaves = []
+    for host, path, ruled in rows:
+        segs = [plain_shape(x) for x in re.split("/+", path.strip("/"))]
+        leaves.append({"key": (host, path), "segs": (segs + [""] * depth)[:depth], "tail": "/".join(segs[depth:]), "at": (host,), "form": plain_form(path), "ruled": ruled})
+    for i in range(depth):
+        parents = defaultdict(list)
+        for x in leaves:
+            parents[x["at"]].append(x)
+        for own in parents.values():
+            names = {x["segs"][i] for x in own}
+            branches = defaultdict(list)
+            for x in own:
+                branches["*" if len(names) > 12 and len(names) > len(own) / 2 else x["segs"][i]].append(x)
+            forms = {x["form"] for x in own}
+            name_of = {}
+            for name, mine in branches.items():
+                rest = [x for other, them in branches.items() if other != name for x in them]
+                c1, c2 = Counter(x["form"] for x in mine), Counter(x["form"] for x in rest)
+                a, b = len(mine), len(rest)
+                alike = bool(rest) and sum(((b / a) ** 0.5 * c1[f] - (a / b) ** 0.5 * c2[f]) ** 2 / (c1[f] + c2[f]) for f in forms) <= len(forms) - 1 + 2 * (2 * (len(forms) - 1)) ** 0.5 + 1e-9
+                y, z = [x["ruled"] == "block" for x in mine if x["ruled"]], [x["ruled"] == "block" for x in rest if x["ruled"]]
+                if y and z:
+                    p = (sum(y) + sum(z) + 0.5) / (len(y) + len(z) + 1)
+                    alike = alike and abs(sum(y) / len(y) - sum(z) / len(z)) <= 2 * (p * (1 - p) * (1 / len(y) + 1 / len(z))) ** 0.5
+                name_of[name] = "{*}" if alike else name
+            for name, mine in branches.items():
+                for x in mine:
+                    x["at"] = (*x["at"], name_of[name])
+    labels = defaultdict(lambda: [0, 0])
+    for x in leaves:
+        if x["ruled"]:
+            labels[x["at"], x["tail"]][0] += 1
+            labels[x["at"], x["tail"]][1] += x["ruled"] == "block"
+    return {x["key"]: ("/" + "/".join(p for p in (*x["at"][1:], x["tail"]) if p), (labels[x["at"], x["tail"]][1] + 2) / (labels[x["at"], x["tail"]][0] + 4)) for x in leaves}
+
+
+def test_template_tree(spark, data):
+    import random
+
+    rng = random.Random(12)
+    made = [f"http://{rng.choice(['a.net', 'b.org', 'c.example.com', 'd'])}/{rng.choice(['de', 'fr', 'en', 'shop', 'x9', ''])}/{rng.choice(['item', 'p', str(rng.randrange(9999)), 'w%d' % rng.randrange(60)])}{rng.choice(['', '/', '.html', '/a/b/c7'])}" for _ in range(1500)]
+    pages = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url").unionByName(spark.createDataFrame([(10**6 + i, u) for i, u in enumerate(made)], "page_id long, url string"))
+    got = urlfilter.judge(pages).collect()
+    verdicts = {f"{h}{p}": v for h, p, v in urlfilter.RULES}
+    want = plain_templates([(r["host"], r["path"], verdicts.get(r["rule"])) for r in got])
+    for r in got:
+        template, share = want[r["host"], r["path"]]
+        assert r["template"] == template and abs(r["block_share"] - share) < 1e-9
+        assert r["verdict"] == (verdicts[r["rule"]] if r["rule"] else "block" if share >= 0.8 else "allow")
+    assert {r["verdict"] for r in got if not r["rule"]} == {"allow", "block"}
+
+
 # 9
 
 
