@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubewright.llm.common import materialize, ship
+from cubewright.llm.common import discard, materialize, ship
 from cubewright.llm.decontaminate import stage_decontaminate
 from cubewright.llm.langid import stage_language
 from cubewright.llm.packing import stage_packing
@@ -37,5 +37,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; each one's result is written as Parquet and read again by the next."""
     at = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        at = materialize(stage(spark, at, sf_dir), f"pipeline-{name}")
+        done, at = at, materialize(stage(spark, at, sf_dir), f"pipeline-{name}")
+        discard(done)
     return STAGES[-1][1](spark, at, sf_dir)
