@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, ship
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -62,22 +62,48 @@ def vectors(table: DataFrame) -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).filter(fine)
 
 
+def measured_probe(x: np.ndarray, c1: np.ndarray, c2: np.ndarray, k: int, recall: float, queries: int = 200) -> float:
+    """The share of all vectors that traversal must pass to hold ``recall`` of the ``k`` nearest ones, measured inside a sample.
+
+    ``queries`` of the sample's vectors are searched exactly in the sample; each true neighbour lies behind some share of it in the
+    order of the pairs. In a larger table neighbours are nearer, so the share that is found is no smaller.
+    """
+    if len(x) <= k + 1:
+        return 1.0
+    half = c1.shape[1]
+    d1, d2 = _squares(x[:, :half], c1), _squares(x[:, half:], c2)
+    i, j = d1.argmin(1), d2.argmin(1)
+    at = np.linspace(0, len(x) - 1, min(queries, len(x))).astype(np.int64)
+    behind = []
+    for q in np.unique(at):
+        own = d1[q][i] + d2[q][j]  # what the traversal sorts each vector's pair by
+        true = np.argpartition(((x - x[q]) ** 2).sum(1), k + 1)[: k + 1]
+        passed = np.sort(own)
+        behind.append(np.searchsorted(passed, own[true[true != q][:k]], side="right") / len(x))
+    return float(np.quantile(np.concatenate(behind), recall))
+
+
 def search(
-    table: DataFrame, every: int = 100, k: int = 10, centroids: int = 128, sample: int = 20_000, probe: float = 0.4, block: int = 4000, queries_block: int = 1000
+    table: DataFrame, every: int = 100, k: int = 10, centroids: int | None = None, sample: int = 20_000, probe: float | None = None, recall: float = 0.97, block: int = 4000
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for each query (vec_id divisible by ``every``) among all others.
 
-    Each half of the vectors is quantised by ``centroids`` centroids, fitted on at most ``sample`` vectors (least hash of the
-    id); every row is entered under its pair of centroids, the entries of one first centroid together. A query takes pairs in the order of summed squared distance until
-    they hold ``probe`` of all distinct vectors (and k + 1 rows at least), and their rows are ranked by exact distance in
-    double precision. All rows of a pair are entered and ranked; a first centroid of many rows is dealt out in blocks. ``probe`` 1 takes
-    all pairs: exact search.
+    Each half of the vectors is quantised by ``centroids`` centroids (by default 4 times the fourth root of the number of vectors,
+    128 to 1024), fitted on at most ``sample`` vectors (least hash of the id); every row is entered under its pair of centroids.
+    A query takes pairs in the order of summed squared distance until they hold the share ``probe`` of all distinct vectors (and
+    k + 1 rows at least), and their rows are ranked by exact distance in double precision. By default the share is the one that
+    finds ``recall`` of the nearest in the sample (see ``measured_probe``); ``probe`` 1 takes all pairs: exact search.
+
+    The entries of one first centroid lie in blocks of some ``block`` rows. Every entry moves once, to its block; a query moves once
+    to each block that it probes, and is ranked as it comes by, so a task holds one block and one Arrow batch of queries.
 
     Equal vectors are one entry, which holds its k + 1 least ids: more can't be among the k nearest. Ties go to the smaller
     vec_id. Rows of an id that repeats with one vector count once. Vectors of another dimension than the most common one take
-    no part (of equally common ones the smallest counts). Fewer rows than k: all of them. Empty table: no rows.
+    no part (of equally common ones the smallest counts). Null ids, and vectors that are null, zero or hold a null or non-finite
+    component, take no part. Fewer rows than k: all of them. Empty table: no rows. Other columns are not looked at.
     """
     spark = table.sparkSession
+    ship(spark)
     rows = vectors(table)
     dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -91,7 +117,9 @@ def search(
     n = entries.count()
     taken = entries.orderBy(F.xxhash64(F.col("ids")[0])).limit(sample).select("v").toPandas()
     x = np.array(taken["v"].tolist(), dtype=float)
-    c1, c2 = kmeans(x[:, :half], centroids) if half else np.zeros((1, 0)), kmeans(x[:, half:], centroids)
+    most = centroids or min(1024, max(128, int(4 * n**0.25)))
+    c1, c2 = kmeans(x[:, :half], most) if half else np.zeros((1, 0)), kmeans(x[:, half:], most)
+    share = measured_probe(x, c1, c2, k, recall) if probe is None else probe
     width = len(c2)
 
     def matrix(col) -> np.ndarray:
@@ -103,11 +131,12 @@ def search(
             yield pa.RecordBatch.from_arrays([pa.array(_nearest(m[:, :half], c1)), pa.array(_nearest(m[:, half:], c2)), b.column("ids"), b.column("v")], ["i", "j", "ids", "v"])
 
     index = materialize(entries.select("ids", "v").mapInArrow(enter, "i long, j long, ids array<bigint>, v array<double>"), "imi-index")
+    discard(entries)
     sizes = np.zeros((len(c1), len(c2)), np.int64)
-    for r in index.groupBy("i", "j").count().collect():  # at most centroids ** 2 rows
-        sizes[r["i"], r["j"]] = r["count"]
+    counts = index.groupBy("i", "j").count().toArrow()  # at most centroids ** 2 rows
+    sizes[counts.column("i").to_numpy(), counts.column("j").to_numpy()] = counts.column("count").to_numpy()
     blocks = np.maximum(1, -(-sizes.sum(1) // block))
-    want = min(n, max(k + 1, int(np.ceil(probe * n))))
+    want = min(n, max(k + 1, int(np.ceil(share * n))))
 
     def probes(batches):
         for b in batches:
@@ -125,38 +154,57 @@ def search(
                 at = [(i, part, js) for i, js in cells.items() for part in range(blocks[i])]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([x[0] for x in at], pa.int64()), pa.array([x[1] for x in at], pa.int32()), pa.array([x[2] for x in at], pa.list_(pa.int32())),
+                        pa.array([x[0] for x in at], pa.int64()), pa.array([x[1] for x in at], pa.int32()), pa.array([x[2] for x in at], pa.list_(pa.int64())),
                         pa.array(np.full(len(at), ids[q])), pa.array([m[q].tolist()] * len(at), pa.list_(pa.float64())),
-                    ], ["i", "part", "js", "query_id", "q"])
+                    ], ["i", "part", "js", "query_id", "v"])
 
     # an id that repeats with several vectors is a query for each of them; the nearest of them all are ranked together
-    own = rows.filter(F.col("vec_id") % every == 0).distinct()
-    fans = max(1, -(-own.count() // queries_block))  # queries are dealt out too; each block of rows goes along with each part of them
-    asked = own.mapInArrow(probes, "i long, part int, js array<int>, query_id long, q array<double>").withColumn("fan", F.pmod(F.xxhash64("query_id"), F.lit(fans)).cast("int"))
+    own = rows.filter(F.col("vec_id") % every == 0).distinct().repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    asked = own.mapInArrow(probes, "i long, part int, js array<bigint>, query_id long, v array<double>")
     each = F.element_at(F.array(*[F.lit(int(x)) for x in blocks]), F.col("i").cast("int") + 1)
     held = index.withColumn("part", F.pmod(F.xxhash64(F.col("ids")[0]), each).cast("int"))
-    held = held.withColumn("fan", F.explode(F.sequence(F.lit(0), F.lit(fans - 1))) if fans > 1 else F.lit(0))
-
-    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = []
-        if left.num_rows and right.num_rows:
-            left = left.take(pa.array(np.argsort(left.column("j").to_numpy(), kind="stable")))
-            e, js, ids = matrix(left.column("v").combine_chunks()), left.column("j").to_numpy(), left.column("ids").to_pylist()
-            wanted = np.zeros(width, bool)
-            for name, q, mine in zip(right.column("query_id").to_pylist(), matrix(right.column("q").combine_chunks()), right.column("js").to_pylist(), strict=True):
-                wanted[:] = False
-                wanted[mine] = True
-                at = np.flatnonzero(wanted[js])
-                if not len(at):
+    # kind 0: entries (js holds their second centroid), kind 1: queries (ids holds the query's)
+    left = held.select("i", "part", F.lit(0).alias("kind"), F.array("j").alias("js"), "ids", "v")
+    right = asked.select("i", "part", F.lit(1).alias("kind"), "js", F.array("query_id").alias("ids"), "v")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // (4 * block)))
+    both = left.unionByName(right).repartition(tasks, "i", "part").sortWithinPartitions("i", "part", "kind")
+
+    def rank(batches):
+        at, e, js, ids = None, [], [], []  # the block whose queries come by
+        wanted = np.zeros(width, bool)
+        for b in batches:
+            i, part, kind = (b.column(c).to_numpy() for c in ("i", "part", "kind"))
+            cut = np.flatnonzero((np.diff(i) != 0) | (np.diff(part) != 0) | (np.diff(kind) != 0)) + 1
+            got = []
+            for first, last in zip([0, *cut], [*cut, len(i)], strict=True):
+                if first == last:
+                    continue
+                run = b.slice(first, last - first)
+                if at != (here := (i[first], part[first])):
+                    at, e, js, ids = here, [], [], []
+                m = matrix(run.column("v"))
+                if kind[first] == 0:
+                    e.append(m)
+                    js.append(run.column("js").flatten().to_numpy())
+                    ids += run.column("ids").to_pylist()
+                    continue
+                if not e:
                     continue
-                d = np.sqrt(((e[at] - q) ** 2).sum(1))
-                far = np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)]
-                top = np.flatnonzero(d <= far)  # all ties too
-                got += sorted((name, d[t], v) for t in top for v in ids[at[t]] if v != name)[:k]
-        return pa.table({"query_id": pa.array([g[0] for g in got], pa.int64()), "vec_id": pa.array([g[2] for g in got], pa.int64()), "score": pa.array([float(g[1]) for g in got], pa.float64())})
-
-    keys = ["i", "part", "fan"]
-    near = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(rank, "query_id long, vec_id long, score double")
+                if len(e) > 1:
+                    e, js = [np.concatenate(e)], [np.concatenate(js)]
+                for (name,), q, mine in zip(run.column("ids").to_pylist(), m, run.column("js").to_pylist(), strict=True):
+                    wanted[:] = False
+                    wanted[mine] = True
+                    near = np.flatnonzero(wanted[js[0]])
+                    if not len(near):
+                        continue
+                    d = np.sqrt(((e[0][near] - q) ** 2).sum(1))
+                    far = np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)]
+                    top = np.flatnonzero(d <= far)  # all ties too
+                    got += sorted((name, d[t], v) for t in top for v in ids[near[t]] if v != name)[:k]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([float(g[1]) for g in got], pa.float64())], ["query_id", "vec_id", "score"])
+
+    near = both.mapInArrow(rank, "query_id long, vec_id long, score double")
     near = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

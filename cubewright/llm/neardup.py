@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, free_shuffles, join_ids, materialize
 from .components import components
-from .tokens import Words, chunks, mix, shingle_sets
+from .tokens import Words, chunks, mix, shingle_sets, trim
 
 U = np.uint64
 NO_ID = -(1 << 63)
@@ -183,6 +183,8 @@ def exchange(rows: DataFrame, label: str) -> DataFrame:
         if got[5]:
             heads = np.array([np.frombuffer(x, np.int64, 2) for x in got[5]]).T
             add(5, np.concatenate([heads, heads[1:]]), pa.array([x.slice(16).to_pybytes() for x in got[5]], pa.binary()))
+        got.clear()
+        trim()
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
     schema = pa.schema([("tag", pa.int8()), ("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64()), ("data", pa.binary())])
@@ -308,7 +310,7 @@ def _pairs_of(size: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 #: Pairs of one task that are looked at by their bits at a time.
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 18
 #: Sets of more nodes are looked at one by one, from a few of their nodes first.
 SMALL_SET, HUBS = 64, 8
 
@@ -409,6 +411,7 @@ def close_members(sets: DataFrame, bits: DataFrame, per_cent: int) -> DataFrame:
                 for _, x, y, _ in _kept(b, np.full(len(i), s), i, j, None):
                     got.append(np.unique(np.concatenate([(s << 32) | x, (s << 32) | y])))
         left = np.unique(np.concatenate(got))
+        trim()
         name, count, own = member_sets((left >> 32).astype(np.uint64), node[left & 0xFFFFFFFF])
         return pa.table({"sid": pa.array(np.repeat(name, count)), "node": pa.array(own)}, schema=schema)
 
@@ -489,6 +492,7 @@ def compared(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], of: np.n
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         sets = shingle_hashes(left.column("text").combine_chunks(), left.column("node").to_numpy(), of, k)
+        trim()
         good = [x in sets and y in sets and linked(sets[x], sets[y], per_cent) for x, y in zip(right.column("a").to_pylist(), right.column("b").to_pylist(), strict=True)]
         return right.select(["a", "b"]).filter(pa.array(good, pa.bool_())).cast(schema)
 

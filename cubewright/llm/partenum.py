@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, buckets_for, discard, free_shuffles, join_ids, materialize, ship
 from .neardup import NO_ID, ROWS_DDL, exchange, linked_components, node_hash, node_rows, packed, to_rows
-from .tokens import NOT_SPACE, Words, chunks, mix, shingle_sets
+from .tokens import NOT_SPACE, Words, chunks, mix, shingle_sets, trim
 
 U = np.uint64
 SEEDS = 6
 #: Signatures that a map task packs at a time.
-MOST_SIGNATURES = 1 << 20
+MOST_SIGNATURES = 1 << 19
 
 
 class PartEnum:
@@ -148,6 +148,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, per_cent: int = 85) -> DataF
                 if held >= MOST_SIGNATURES:
                     yield to_rows([*rows, *packed(np.concatenate(sigs), np.concatenate(nodes), buckets)])
                     sigs, nodes, rows, held = [], [], [], 0
+                    trim()
             if counts:
                 done = np.concatenate(counts, axis=1)
                 rows.append((int(abs(int(done[0, 0])) % buckets), 2, done.astype(np.int64).tobytes()))

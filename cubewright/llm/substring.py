@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import buckets_for, discard, free_shuffles, join_ids, materialize, ship
 from .neardup import ROWS_DDL, exchange, linked_components, node_hash, node_rows, packed, packed_repeats, to_rows
-from .tokens import NOT_SPACE, Words, chunks, mix, random_words, run_hashes, shingle_sets, window_hashes
+from .tokens import NOT_SPACE, Words, chunks, mix, random_words, run_hashes, shingle_sets, trim, window_hashes
 
 U = np.uint64
 #: Bands and rows of the MinHash: two paragraphs of Jaccard 0.8 share a band with probability 1 - (1 - 0.8**3)**14 > 0.9999.
@@ -92,7 +92,9 @@ def find_repeats(docs: DataFrame, min_words: int = 50, k: int = 5, per_cent: int
                 held += len(fp)
                 if held >= MOST_RUNS:
                     rows += packed_repeats(*map(np.concatenate, zip(*runs, strict=True)), buckets)
-                    runs, held = [], 0
+                    yield to_rows(rows)
+                    rows, runs, held = [], [], 0
+                    trim()
                 for i in range(0, len(lines) - 1, 1000):
                     j = min(i + 1000, len(lines) - 1)
                     own_lines = w.part(i, j)
@@ -123,6 +125,7 @@ def find_repeats(docs: DataFrame, min_words: int = 50, k: int = 5, per_cent: int
                 if done.shape[1]:
                     rows.append((int(done[1, 0] % buckets), 2, done.tobytes()))
                 yield to_rows(rows)
+            trim()
 
     met = exchange(own.mapInArrow(sign, ROWS_DDL), "ss-met")
     free_shuffles(docs.sparkSession)
@@ -205,6 +208,7 @@ def _rewrite(batches, columns: list[str], text: str, ranges: str, stats: bool):
         if stats:
             made |= {"n_words": pa.array(words, pa.int64()), "n_removed": pa.array(gone, pa.int64())}
         yield pa.RecordBatch.from_arrays([made[c] if c in made else b.column(c) for c in columns], columns)
+        trim()
 
 
 def _with_ranges(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:

@@ -6,6 +6,7 @@ single document. A null text is an empty one.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -75,6 +76,19 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return h
 
 
+def trim() -> None:
+    """Hand freed memory of this worker back to the machine; many workers share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
+
 def arrow_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, and the offsets of each (one more than there are texts)."""
     if isinstance(col, pa.ChunkedArray):
