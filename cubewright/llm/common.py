@@ -28,6 +28,13 @@ def ship(spark: SparkSession) -> None:
     sc._cubewright_shipped = True
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Pass texts to Python in batches of at most so many rows: their Arrow buffers lie outside the heap, one for each task and step."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the cluster; a folder of our own only where none is set (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

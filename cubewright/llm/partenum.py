@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, buckets_for, discard, free_shuffles, join_ids, materialize, ship
+from .common import BROADCAST_ROWS, buckets_for, discard, free_shuffles, join_ids, materialize, ship, small_batches
 from .neardup import NO_ID, ROWS_DDL, exchange, linked_components, node_hash, node_rows, packed, to_rows
 from .tokens import NOT_SPACE, Words, chunks, mix, shingle_sets, trim
 
@@ -119,6 +119,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, per_cent: int = 85) -> DataF
     adds nothing but their own rows.
     """
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     buckets = buckets_for(own, 4 << 20)
     scheme = PartEnum(per_cent)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, discard, free_shuffles, join_ids, materialize, ship
+from .common import buckets_for, discard, free_shuffles, join_ids, materialize, ship, small_batches
 from .neardup import ROWS_DDL, exchange, linked_components, node_hash, node_rows, packed, packed_repeats, to_rows
 from .tokens import NOT_SPACE, Words, chunks, mix, random_words, run_hashes, shingle_sets, trim, window_hashes
 
@@ -72,6 +72,7 @@ def find_repeats(docs: DataFrame, min_words: int = 50, k: int = 5, per_cent: int
     are not looked at.
     """
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).filter("doc_id is not null")
     buckets = buckets_for(own)
 
