@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubewright.llm.common import discard, materialize, ship
+from cubewright.llm.common import discard, materialize, ship, small_batches
 from cubewright.llm.decontaminate import stage_decontaminate
 from cubewright.llm.langid import stage_language
 from cubewright.llm.packing import stage_packing
@@ -15,6 +15,7 @@ from cubewright.llm.substring import stage_substrings
 def _shipped(stage):
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
+        small_batches(spark)
         return stage(spark, docs, sf_dir)
 
     return run
