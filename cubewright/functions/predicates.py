@@ -129,13 +129,15 @@ class PredicateSet:
         return reduce(lambda a, b: a & b, [p.must_hold() for p in self.predicates], F.lit(True))
 
     def key_range(self, schema: CubeSchema) -> tuple[int, int]:
-        """The least and greatest key that can satisfy the set; both ends are within the schema's bits."""
+        """The least and greatest key that can satisfy the set, both within the schema's bits; (1, 0), which is empty, if no code can."""
         low, high = {d.name: 0 for d in schema.dims}, {d.name: d.mask for d in schema.dims}
         for p in self.predicates:
             if (bounds := p._bounds()) is not None and p.dim in low:
                 lo, hi = bounds
                 low[p.dim] = max(low[p.dim], lo) if lo is not None else low[p.dim]
                 high[p.dim] = min(high[p.dim], hi) if hi is not None else high[p.dim]
+        if any(low[d] > high[d] for d in low):
+            return 1, 0
         return schema.pack(low), schema.pack(high)
 
 

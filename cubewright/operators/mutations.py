@@ -44,8 +44,16 @@ def dedup_last(rows: DataFrame, seq: str = "value") -> DataFrame:
 
 
 def live(rows: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """Rows whose (key, value) is not among the tombstones."""
-    return rows.join(tombstones.select("key", "value").distinct(), ["key", "value"], "left_anti").select(*rows.columns)
+    """Rows without one occurrence of (key, value) for each tombstone: of two equal rows, one tombstone leaves one.
+
+    Only rows that a tombstone names are ranked.
+    """
+    counts = tombstones.groupBy("key", "value").agg(F.count("*").alias("_dn"))
+    hit = rows.join(counts, ["key", "value"], "left")
+    kept = hit.filter(F.col("_dn").isNull())
+    order = Window.partitionBy("key", "value").orderBy(F.lit(0))  # equal rows: any will do
+    ranked = hit.filter(F.col("_dn").isNotNull()).withColumn("_rn", F.row_number().over(order)).filter("_rn > _dn")
+    return kept.select(*rows.columns).unionByName(ranked.select(*rows.columns))
 
 
 class MutableCube:
@@ -56,10 +64,22 @@ class MutableCube:
         self._deltas: list[str] = []
         self._dead: list[str] = []
 
-    def insert(self, rows: DataFrame) -> None:
-        path = shared_path(self.spark, "delta")
-        rows.select(*self.schema.names, "value").withColumn("key", self.schema.key()).withColumn("block_id", F.lit(-1 - len(self._deltas))).write.parquet(path)
-        self._deltas.append(path)
+    def insert(self, rows: DataFrame, path: str | None = None) -> None:
+        """Append rows as a delta block of its own; at a given ``path`` the same rows can be written again and count once."""
+        again = path in self._deltas
+        block = -1 - (self._deltas.index(path) if again else len(self._deltas))
+        path = path or shared_path(self.spark, "delta")
+        rows.select(*self.schema.names, "value").withColumn("key", self.schema.key()).withColumn("block_id", F.lit(block)).write.mode("overwrite").parquet(path)
+        if not again:
+            self._deltas.append(path)
+
+    def attach(self, folder: str) -> None:
+        """Take up the finished deltas under a folder that an earlier session wrote."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = [f"{folder}/{s.getPath().getName()}" for s in fs.listStatus(root)] if fs.exists(root) else []
+        self._deltas += [p for p in sorted(found) if p not in self._deltas and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{p}/_SUCCESS"))]
 
     @property
     def rows(self) -> DataFrame:
@@ -71,7 +91,11 @@ class MutableCube:
     @property
     def stats(self) -> DataFrame:
         """Delta blocks have statistics of their own; where rows are dead, the touched blocks are counted anew."""
-        return block_stats(self.rows, self.schema) if self._dead or self._deltas else self.cube.stats
+        if self._dead:
+            return block_stats(self.rows, self.schema)
+        if self._deltas:  # the base is as it was: only the deltas are counted
+            return self.cube.stats.drop("file").unionByName(block_stats(self.spark.read.parquet(*self._deltas), self.schema))
+        return self.cube.stats
 
     def remove(self, keys: DataFrame) -> int:
         """Remove one occurrence for each row of ``keys`` (column dk); how many were there to remove."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,8 +63,9 @@ class Log:
         born = changes.filter("op = 'insert'").drop("op").withColumnRenamed("epoch", "xmin")
         if base is not None:
             born = base.withColumn("xmin", F.lit(0)).unionByName(born.select(*base.columns, "xmin"))
-        gone = changes.filter("op = 'delete'").groupBy("value").agg(F.min("epoch").alias("xmax"))
-        return born.join(gone, "value", "left")
+        gone = changes.filter("op = 'delete'").groupBy("value").agg(F.collect_set("epoch").alias("_gone"))  # one value's deletes
+        ends = F.array_min(F.filter("_gone", lambda e: e > F.col("xmin")))  # a birth ends with the next delete after it
+        return born.join(gone, "value", "left").withColumn("xmax", ends).drop("_gone")
 
     def checkpoint(self, base: DataFrame | None = None) -> DataFrame:
         """The live rows after all commits, written out; the log's earlier part is no longer needed with it."""
@@ -87,10 +89,19 @@ class Transaction:
         self.parts.append(rows.withColumn("op", F.lit("delete")))
 
     def commit(self) -> int:
-        done = self.log.epochs()
-        epoch = (done[-1] if done else 0) + 1
-        if self.parts:
-            reduce(DataFrame.unionByName, self.parts).write.mode("errorifexists").parquet(f"{self.log.path}/epoch={epoch}")
+        """Write the changes aside, then publish them by one rename; what a crash leaves aside is never read. The next free epoch
+        is taken, also past a folder that an earlier crash left without its marker."""
+        if not self.parts:
+            done = self.log.epochs()
+            return (done[-1] if done else 0) + 1
+        fs, jvm = self.log._fs()
+        path = jvm.org.apache.hadoop.fs.Path
+        aside = f"{self.log.path}/aside-{uuid.uuid4().hex}"
+        reduce(DataFrame.unionByName, self.parts).write.parquet(aside)
+        names = [s.getPath().getName() for s in fs.listStatus(path(self.log.path))]
+        epoch = max([0, *(int(n[6:]) for n in names if n.startswith("epoch="))]) + 1
+        while fs.exists(path(f"{self.log.path}/epoch={epoch}")) or not fs.rename(path(aside), path(f"{self.log.path}/epoch={epoch}")):
+            epoch += 1
         self.parts = []
         return epoch
 

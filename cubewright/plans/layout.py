@@ -47,6 +47,12 @@ class Cube:
         columns = [*(f"{d} BIGINT" for d in self.schema.names), "value BIGINT", f"key {key}", "block_id INT"]
         return self.spark.read.schema(", ".join(columns)).parquet(f"{self.path}/base")  # no job to read footers
 
+    def blocks(self, files: list[str]) -> DataFrame:
+        """The rows of some blocks, given by their files: no other file is opened."""
+        if not files:
+            return self.spark.createDataFrame([], self.rows.schema)
+        return self.spark.read.schema(self.rows.schema).parquet(*files)
+
     @property
     def stats(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/stats")
@@ -70,9 +76,30 @@ def bulk_load(rows: DataFrame, schema: CubeSchema, path: str, profile: str = "ba
     if dedup:
         last = Window.partitionBy("key").orderBy(F.desc(seq))
         rows = rows.withColumn("_rn", F.row_number().over(last)).filter("_rn = 1").drop("_rn")
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").parquet(f"{path}/staged")  # joins and windows behind the rows run once; sampling reads this
+    rows = spark.read.schema(rows.schema).parquet(f"{path}/staged")
     blocks = max(1, -(-rows.count() // rows_per_block(profile, fill, block_rows)))
     laid = rows.repartitionByRange(blocks, "key", "value").withColumn("block_id", F.spark_partition_id()).sortWithinPartitions("key", "value")
     laid.write.mode("overwrite").parquet(f"{path}/base")
-    cube = Cube(schema, path, rows.sparkSession)
-    block_stats(cube.rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    jvm = spark.sparkContext._jvm
+    staged = jvm.org.apache.hadoop.fs.Path(f"{path}/staged")
+    staged.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(staged, True)
+    cube = Cube(schema, path, spark)
+    # a block is one file, which its statistics name
+    block_stats(cube.rows.withColumn("file", F.input_file_name()), schema, ("block_id", "file")).write.mode("overwrite").parquet(f"{path}/stats")
+    _SIDECARS.pop(path, None)
     return cube
+
+
+#: Blocks whose statistics the driver keeps at most; more stay a table.
+SIDECAR_BLOCKS = 10_000
+_SIDECARS: dict[str, DataFrame | None] = {}
+
+
+def sidecar(cube: Cube) -> DataFrame | None:
+    """The statistics as a local table, read once: tests on them run no job. None where there are more than ``SIDECAR_BLOCKS``."""
+    if cube.path not in _SIDECARS:
+        rows = cube.stats.limit(SIDECAR_BLOCKS + 1).collect()
+        _SIDECARS[cube.path] = cube.spark.createDataFrame(rows, cube.stats.schema) if len(rows) <= SIDECAR_BLOCKS else None
+    return _SIDECARS[cube.path]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import KeyRange, PredicateSet
-from .layout import Cube
+from .layout import Cube, sidecar
 
 #: A block list is used if it skips more than this share of the rows; else all blocks are scanned under the plain filter.
 WORTH = 0.25
@@ -27,29 +27,53 @@ class Plan:
     estimated_rows: int
 
 
+def _sum_up(cube: Cube, touched: DataFrame, inside, dim: str, where) -> DataFrame | None:
+    """(n, s) from a local sidecar: blocks that are ``inside`` by their statistics, the others by a scan of their files alone."""
+    got = touched.select("n", F.col(f"sum_{dim}").alias("s"), "file", F.coalesce(inside, F.lit(False)).alias("inside")).collect()
+    edge = [r["file"] for r in got if not r["inside"]]
+    if len(edge) > LISTED:
+        return None
+    n, s = (sum(r[c] or 0 for r in got if r["inside"]) for c in ("n", "s"))
+    known = [F.lit(n).cast("long").alias("n"), F.lit(s).cast("long").alias("s")]
+    if not edge:
+        return cube.spark.range(1).select(*known)
+    scanned = cube.blocks(edge).filter(where).agg(F.count("*").alias("n"), F.coalesce(F.sum(dim), F.lit(0)).alias("s"))
+    return scanned.select((F.col("n") + n).cast("long").alias("n"), (F.col("s") + s).cast("long").alias("s"))
+
+
+def _sum_up_joined(cube: Cube, touched: DataFrame, inside, dim: str, where) -> DataFrame:
+    """The same where the statistics are a table of many blocks."""
+    known = touched.filter(inside).agg(F.sum("n").alias("n"), F.sum(f"sum_{dim}").alias("s"))
+    edge = touched.filter(~F.coalesce(inside, F.lit(False))).select("block_id")
+    scanned = cube.rows.filter(where).join(edge, "block_id", "left_semi").agg(F.count("*").alias("n"), F.sum(dim).alias("s"))
+    return known.unionByName(scanned).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.sum("s"), F.lit(0)).cast("long").alias("s"))
+
+
 def range_aggregate(cube: Cube, dim: str, low: int, high: int) -> DataFrame:
     """One row (n, s): COUNT and SUM of a dimension's codes over keys in [low, high].
 
     Blocks inside the range are answered by the sidecar. At most two blocks cross its ends (more only if a key fills several),
-    and only these are scanned. ``low > high``: zeros.
+    and only their files are read. ``low > high``: zeros.
     """
     inside = (F.col("key_lo") >= low) & (F.col("key_hi") <= high)
-    touched = (F.col("key_hi") >= low) & (F.col("key_lo") <= high)
-    known = cube.stats.filter(touched & inside).agg(F.sum("n").alias("n"), F.sum(f"sum_{dim}").alias("s"))
-    edge = cube.stats.filter(touched & ~inside).select("block_id")
-    # the key filter reaches the scan, which skips row groups by their own statistics
-    rows = cube.rows.filter(F.col("key").between(low, high)).join(edge, "block_id", "left_semi")
-    scanned = rows.agg(F.count("*").alias("n"), F.sum(dim).alias("s"))
-    both = known.unionByName(scanned)
-    return both.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.sum("s"), F.lit(0)).cast("long").alias("s"))
+    touched = (F.col("key_hi") >= low) & (F.col("key_lo") <= high) & F.lit(low <= high)
+    where, local = F.col("key").between(low, high), sidecar(cube)
+    found = _sum_up(cube, local.filter(touched), inside, dim, where) if local is not None else None
+    return _sum_up_joined(cube, cube.stats.filter(touched), inside, dim, where) if found is None else found
 
 
 def plan(cube: Cube, where: PredicateSet, worth: float = WORTH) -> Plan:
     """Count what the statistics say about a predicate set."""
     may, must = where.may_hold(), where.must_hold()
-    r = cube.stats.agg(
-        F.sum("n").alias("rows"), F.count("*").alias("blocks"),
-        F.count_if(may & must).alias("contained"), F.count_if(may & ~must).alias("scanned"), F.sum(F.when(may, F.col("n")).otherwise(0)).alias("left")).first()
+    local = sidecar(cube)
+    if local is not None:
+        got = local.select("n", F.coalesce(may, F.lit(False)).alias("may"), F.coalesce(must, F.lit(False)).alias("must")).collect()  # no job
+        r = {"rows": sum(x["n"] for x in got), "blocks": len(got), "left": sum(x["n"] for x in got if x["may"])}
+        r |= {"contained": sum(x["may"] and x["must"] for x in got), "scanned": sum(x["may"] and not x["must"] for x in got)}
+    else:
+        r = cube.stats.agg(
+            F.sum("n").alias("rows"), F.count("*").alias("blocks"),
+            F.count_if(may & must).alias("contained"), F.count_if(may & ~must).alias("scanned"), F.sum(F.when(may, F.col("n")).otherwise(0)).alias("left")).first()
     rows, left = r["rows"] or 0, r["left"] or 0
     useful = rows > 0 and (rows - left) > worth * rows
     return Plan("blocks" if useful else "scan", r["contained"], r["scanned"], r["blocks"] - r["contained"] - r["scanned"], left)
@@ -61,19 +85,17 @@ def search(cube: Cube, where: PredicateSet, worth: float = WORTH) -> DataFrame:
     p = plan(cube, where, worth)
     if p.strategy == "scan":
         return rows
-    ids = cube.stats.filter(where.may_hold()).select("block_id")
-    if p.contained + p.scanned <= LISTED:
-        return rows.filter(F.col("block_id").isin([r[0] for r in ids.collect()]))
-    return rows.join(ids, "block_id", "left_semi")
+    local = sidecar(cube)
+    if local is not None and p.contained + p.scanned <= LISTED:
+        return cube.blocks([r[0] for r in local.filter(where.may_hold()).select("file").collect()]).filter(where.column(cube.schema))
+    return rows.join(cube.stats.filter(where.may_hold()).select("block_id"), "block_id", "left_semi")
 
 
 def filtered_aggregate(cube: Cube, where: PredicateSet, dim: str) -> DataFrame:
     """One row (n, s): COUNT and SUM under a predicate set; wholly satisfied blocks are answered by the sidecar."""
-    may, must = where.may_hold(), where.must_hold()
-    known = cube.stats.filter(may & must).agg(F.sum("n").alias("n"), F.sum(f"sum_{dim}").alias("s"))
-    rest = cube.stats.filter(may & ~must).select("block_id")
-    scanned = cube.rows.filter(where.column(cube.schema)).join(rest, "block_id", "left_semi").agg(F.count("*").alias("n"), F.sum(dim).alias("s"))
-    return known.unionByName(scanned).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.sum("s"), F.lit(0)).cast("long").alias("s"))
+    may, must, local = where.may_hold(), where.must_hold(), sidecar(cube)
+    found = _sum_up(cube, local.filter(may), must, dim, where.column(cube.schema)) if local is not None else None
+    return _sum_up_joined(cube, cube.stats.filter(may), must, dim, where.column(cube.schema)) if found is None else found
 
 
 def estimate_cost(cube: Cube, where: PredicateSet) -> dict:

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from .layout import Cube
 
+#: Blocks, or runs of them, of one run of the level above (see ``Cube.files``).
+FAN = 16
+
+#: The names of the six rules, and the least threshold.
+LEAST_THRESHOLD = 1e-7
 STRATEGIES = ("fixed_strict", "arithmetic_mean", "median", "stddev_2x", "stddev_6x", "adaptive_local")
 
 
@@ -22,23 +27,38 @@ def block_betas(stats: DataFrame, k: float = 2.0) -> DataFrame:
     return stats.select("block_id", "n", b.alias("beta")).withColumn("homogeneous", F.col("beta") < 1 / F.pow(F.col("n").cast("double"), F.lit(k)))
 
 
-def beta_threshold(betas: DataFrame, strategy: str, strict: float = 1e-6) -> float:
-    """The bound below which a block counts as homogeneous, by one of six rules over the finite betas of all blocks."""
+def beta_threshold(rows: DataFrame, strategy: str, strict: float = 1e-6, least: float = LEAST_THRESHOLD) -> float:
+    """The bound below which a range of keys counts as homogeneous, by one of six rules over all keys of ``rows``.
+
+    arithmetic_mean: a tenth of the beta of the whole range; median: a thousandth of the median key; stddev_2x and stddev_6x: two
+    and six standard deviations. Where the figure behind a rule is infinite, or 1 or less, and for no keys, it is ``strict``.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
     if strategy == "fixed_strict":
         return strict
     if strategy == "adaptive_local":
         return 0.0
-    r = betas.filter(F.col("beta") < float("inf")).agg(F.avg("beta"), F.percentile("beta", 0.5), F.stddev_pop("beta")).first()
-    mean, median, spread = (x or 0.0 for x in r)
-    return {"arithmetic_mean": 0.1 * mean, "median": 0.001 * median, "stddev_2x": max(0.0, mean - 2 * spread), "stddev_6x": max(0.0, mean - 6 * spread)}[strategy]
+    keys = rows.select(F.col("key").cast("double").alias("key"))
+    r = keys.agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.stddev_pop("key").alias("spread"), F.count("key").alias("n"))
+    r = r.select(beta(F.col("lo"), F.col("hi")).alias("beta"), "spread", "n").first()
+    if not r["n"]:
+        return strict
+    if strategy == "arithmetic_mean":
+        found = 0.1 * r["beta"] if r["beta"] != float("inf") else strict
+    elif strategy == "median":
+        middle = keys.agg(F.percentile_approx("key", 0.5, 1_000_000)).first()[0]
+        found = 0.001 * middle if middle > 1 else strict
+    else:
+        found = {"stddev_2x": 2, "stddev_6x": 6}[strategy] * r["spread"] if r["spread"] > 1 else strict
+    return max(found, least)
 
 
 def statistics(cube: Cube) -> DataFrame:
-    """One row: records, blocks, homogeneous blocks, levels."""
+    """One row: records, blocks, homogeneous blocks, levels (rows in blocks, and as many levels of runs of ``FAN`` above as lead to one)."""
     b = block_betas(cube.stats)
-    return b.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count("*").alias("blocks"), F.count_if("homogeneous").alias("homogeneous")).withColumn("levels", F.lit(3))
+    levels = F.lit(1) + F.when(F.col("blocks") > 1, F.ceil(F.round(F.log(F.col("blocks").cast("double")) / F.log(F.lit(float(FAN))), 9))).otherwise(0)
+    return b.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count("*").alias("blocks"), F.count_if("homogeneous").alias("homogeneous")).withColumn("levels", levels.cast("int"))
 
 
 def dim_stats(rows: DataFrame, dims: list[str]) -> DataFrame:

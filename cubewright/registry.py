@@ -5,10 +5,13 @@ They run on the bulk-loaded cube of the tables in a directory (see ``sources.cub
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.predicates import Predicate, PredicateSet, any_of, between, eq, isin
+from .functions.schema import CubeSchema
 from .operators import aggregates, analytics, mutations, scan, txn
 from .plans import layout, planner, stats
 from .sources.cube import SCHEMA, cube_view, stored_cube
@@ -142,8 +145,11 @@ def _(spark, d):
 
 @query("pred_like", "SELECT count(*) n, cast(sum(price) AS bigint) sp, bit_xor(key) chk FROM cube JOIN nation ON state = n_nationkey WHERE n_name LIKE '%A%1'")
 def _(spark, d):
-    names = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name").filter(F.col("n_name").like("%A%1"))
-    return _found(_rows(spark, d).join(names, F.col("state") == F.col("n_nationkey")))
+    names = dict(spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name").limit(1 << 5).collect())  # a dictionary of at most 2**5 codes
+    labels = tuple(names.get(i, "") for i in range(max(names, default=-1) + 1))
+    dims = tuple(replace(x, labels=labels) if x.name == "state" else x for x in SCHEMA.dims)
+    cube = replace(stored_cube(spark, d), schema=CubeSchema(dims))
+    return _found(planner.search(cube, PredicateSet.of(Predicate("state", "like", ("%A%1",)))))
 
 
 @query("pred_not", f"{_FOUND} WHERE NOT (year = 8 AND state = 1)")
@@ -380,6 +386,49 @@ def _(spark, d):
     return scan.checksum(mutations.live(rows, rows.filter("value % 103 = 0")))
 
 
+@query("range_outside", f"{_FOUND} WHERE year < 0 OR year >= 300")
+def _(spark, d):
+    below, above = (PredicateSet.of(Predicate("year", op, (v,))).key_range(SCHEMA) for op, v in (("lt", 0), ("gte", 300)))
+    rows = _rows(spark, d)
+    return _found(scan.range_search(rows, *below).unionByName(scan.range_search(rows, *above)))
+
+
+@query("remove_one_of_two_equal", "SELECT count(*) n, bit_xor(key) chk FROM (SELECT key FROM cube UNION ALL SELECT key FROM cube WHERE value % 97 = 0 AND value % 103 <> 0) t")
+def _(spark, d):
+    """Every 97th row is there twice; of those that are also a 103rd, one of the two goes."""
+    rows = _rows(spark, d).select("key", "value")
+    return scan.checksum(mutations.live(mutations.insert(rows, rows.filter("value % 97 = 0")), rows.filter("value % 97 = 0 and value % 103 = 0")))
+
+
+@query("reinsert", "SELECT count(*) n, bit_xor(key) chk FROM cube WHERE value % 103 <> 0 OR value % 2 = 0")
+def _(spark, d):
+    """Every 103rd row is removed, and of those the even ones come back."""
+    cube = mutations.MutableCube(stored_cube(spark, d))
+    gone = cube.cube.rows.filter("value % 103 = 0")
+    cube.remove(gone.select(F.col("key").alias("dk")))
+    back = cube.cube.rows.filter("value % 103 = 0 and value % 2 = 0")
+    cube.insert(back)
+    return scan.checksum(cube.rows)
+
+
+@query("recover_after_crash", "SELECT count(*) n, bit_xor(value) chk FROM cube WHERE value % 101 = 0 AND NOT (value % 2 = 0 AND value % 3 = 0)")
+def _(spark, d):
+    """Three commits and a crash: rows are made, the even ones deleted, and of those the ones not divisible by 3 made again."""
+    rows = _rows(spark, d).filter("value % 101 = 0").select("key", "value")
+    log = txn.Log(spark)
+    for step, (op, part) in enumerate((("insert", "true"), ("delete", "value % 2 = 0"), ("insert", "value % 2 = 0 and value % 3 <> 0"))):
+        if step == 1:  # a commit of another process that died half-way
+            rows.withColumn("op", F.lit("insert")).write.parquet(f"{log.path}/epoch=2")
+            jvm = spark.sparkContext._jvm
+            mark = jvm.org.apache.hadoop.fs.Path(f"{log.path}/epoch=2/_SUCCESS")
+            mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(mark, False)
+        t = log.begin()
+        getattr(t, op)(rows.filter(part))
+        t.commit()
+    live = txn.snapshot(txn.Log(spark, log.path).versions(), log.epochs()[-1])
+    return live.agg(F.count("*").alias("n"), F.bit_xor("value").alias("chk"))
+
+
 @query("delta_compact", "SELECT count(*) n, bit_xor(value) chk FROM (SELECT value FROM cube WHERE value % 103 <> 0 UNION ALL SELECT value + 1000000000 FROM cube WHERE value % 97 = 0) t")
 def _(spark, d):
     cube = mutations.MutableCube(stored_cube(spark, d))
@@ -419,5 +468,7 @@ def _(spark, d):
     return windowed_sums(spark.read.parquet(f"{d}/events.parquet").select("ts", "event_type", "value"))
 
 
+#: The sequential distribution is arithmetic; the others are drawn.
+_SEQUENTIAL = "SELECT i % 85680 // 336 AS year, count(*) n, cast(sum(50000 + i % 100000) AS bigint) sp FROM (SELECT unnest(range(100000)) i) GROUP BY 1"
 for _name in ("uniform", "clustered", "skewed", "sequential"):
-    query(f"generate_{_name}", None)(lambda spark, d, name=_name: aggregates.group_sum(generate(spark, name, 100_000, partitions=8), ["year"], "price"))
+    query(f"generate_{_name}", _SEQUENTIAL if _name == "sequential" else None)(lambda spark, d, name=_name: aggregates.group_sum(generate(spark, name, 100_000, partitions=8), ["year"], "price"))

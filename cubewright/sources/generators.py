@@ -20,12 +20,15 @@ def _normal(mean: float, spread: float, seed: int) -> Column:
 
 
 def generate(spark: SparkSession, distribution: str, n: int, seed: int = 42, partitions: int | None = None) -> DataFrame:
-    """n rows of codes (year, month, day, state, product, price, version), value (the row's number) and key."""
+    """n rows of codes (year, month, day, state, product, price, version), value (the row's number) and key.
+
+    Codes are 0-based: month 5 is June. The numbers of the four distributions are fixed values.
+    """
     schema = sales_schema()
     rows = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
     i = F.col("id")
     states, products = [schema.dim(d).labels for d in ("state", "product")]
-    any_date = {"year": _whole(20, 24, seed), "month": _whole(1, 12, seed + 1), "day": _whole(1, 28, seed + 2)}
+    any_date = {"year": _whole(20, 24, seed), "month": _whole(0, 11, seed + 1), "day": _whole(0, 27, seed + 2)}
     base = any_date | {"state": _whole(0, len(states) - 1, seed + 3), "product": _whole(0, len(products) - 1, seed + 4), "price": _whole(500, 200_000, seed + 5), "version": _whole(100, 500, seed + 6)}
     if distribution == "uniform":
         cols = base
@@ -38,7 +41,7 @@ def generate(spark: SparkSession, distribution: str, n: int, seed: int = 42, par
             "year": by(lambda k, c: _whole(c[2], c[2] + 2, seed + 10 + k)), "price": by(lambda k, c: _normal(c[3], c[4], seed + 20 + k))}
     elif distribution == "skewed":
         hot = i < F.lit(n * 8 // 10)
-        fixed = {"year": F.lit(22), "month": F.lit(6), "state": F.lit(states.index("CA")), "product": F.lit(products.index("Laptop")), "price": _whole(90_000, 150_000, seed + 8)}
+        fixed = {"year": F.lit(22), "month": F.lit(5), "state": F.lit(states.index("CA")), "product": F.lit(products.index("Laptop")), "price": _whole(90_000, 150_000, seed + 8)}
         cols = base | {d: F.when(hot, c.cast("long")).otherwise(base[d]) for d, c in fixed.items()}
     elif distribution == "sequential":
         day = i % (255 * 12 * 28)

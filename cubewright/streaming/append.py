@@ -28,11 +28,10 @@ def windowed_sums(events: DataFrame, width: str = "3 days", slide: str = "1 day"
 
 def append_to(cube, batches: DataFrame, checkpoint: str) -> StreamingQuery:
     """Append each micro-batch of rows (codes and value) to a mutable cube's delta, once each, until the input is used up."""
-    seen: set[int] = set()
+    folder = f"{checkpoint.rstrip('/')}-deltas"
+    cube.attach(folder)  # what an earlier run appended
 
     def one(batch: DataFrame, number: int) -> None:
-        if number not in seen:  # a batch that is tried again is the same batch
-            cube.insert(batch)
-            seen.add(number)
+        cube.insert(batch, f"{folder}/batch-{number:012d}")  # a batch that is tried again, after a restart too, replaces itself
 
     return batches.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -71,8 +71,9 @@ def test_empty_cube(spark, tmp_path):
 
 
 def test_key_filters_reach_the_scan(cube):
-    plan = planner.range_aggregate(cube, "m", 5, 9)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(key), GreaterThanOrEqual(key,5), LessThanOrEqual(key,9)" in plan
+    low, high = (lambda b: (b["key_lo"] + 1, b["key_hi"]))(cube.stats.orderBy("key_lo").first())  # crosses a block's end
+    plan = planner.range_aggregate(cube, "m", low, high)._jdf.queryExecution().executedPlan().toString()
+    assert f"PushedFilters: [IsNotNull(key), GreaterThanOrEqual(key,{low}), LessThanOrEqual(key,{high})" in plan
 
 
 def test_key_ranges():
@@ -164,8 +165,13 @@ def test_betas(cube, spark):
     b = spark.createDataFrame([(0, 0), (5, 5), (1, 3), (0, 3)], "lo long, hi long").select(stats.beta(F.col("lo"), F.col("hi")))
     assert [r[0] for r in b.collect()] == [0.0, 0.0, 4 / 12, float("inf")]
     betas = stats.block_betas(cube.stats)
-    thresholds = {s: stats.beta_threshold(betas, s) for s in stats.STRATEGIES}
-    assert thresholds["adaptive_local"] == 0 and all(v >= 0 for v in thresholds.values())
+    assert betas.count() == cube.stats.count()
+    keys = spark.createDataFrame([(x,) for x in (100, 200, 300, 400, 1000)], "key long")
+    got = {s: stats.beta_threshold(keys, s, 0.5) for s in stats.STRATEGIES}
+    spread = (sum((x - 400) ** 2 for x in (100, 200, 300, 400, 1000)) / 5) ** 0.5
+    want = {"fixed_strict": 0.5, "adaptive_local": 0.0, "arithmetic_mean": 0.1 * 900**2 / (4 * 100 * 1000), "median": 0.3, "stddev_2x": 2 * spread, "stddev_6x": 6 * spread}
+    assert all(abs(got[s] - want[s]) < 1e-6 for s in want)
+    assert all(stats.beta_threshold(keys.filter("false"), s, 0.5) == (0.0 if s == "adaptive_local" else 0.5) for s in want)
     assert stats.statistics(cube).first()["records"] == 3400
     h = stats.histogram(cube.rows, "m", 4).orderBy("bucket").collect()
     assert sum(r["n"] for r in h) == 3400 and all(x["hi"] < y["lo"] for x, y in zip(h, h[1:], strict=False))
@@ -182,3 +188,18 @@ def test_ties_in_top_groups(spark):
 def test_null_groups_have_averages(spark):
     rows = spark.createDataFrame([(None, 1), (None, 5), (1, 2)], "g long, v long")
     assert [r["v"] for r in analytics.above_group_average(rows, ["g"], "v").collect()] == [5]
+
+
+def test_range_aggregate_reads_edge_blocks_alone(cube):
+    """The scan opens the files of the blocks that cross the range's ends, no other."""
+    from cubewright.plans import planner
+
+    blocks = cube.stats.orderBy("key_lo").collect()
+    assert len(blocks) >= 4
+    low, high = blocks[1]["key_lo"] + 1, blocks[-2]["key_hi"] - 1
+    edge = {b["file"] for b in blocks if b["key_hi"] >= low and b["key_lo"] <= high and not (b["key_lo"] >= low and b["key_hi"] <= high)}
+    found = planner.range_aggregate(cube, "m", low, high)
+    assert {f.rsplit("/", 1)[-1] for f in found.inputFiles()} == {f.rsplit("/", 1)[-1] for f in edge} and len(edge) < len(blocks) - 1
+    want = cube.rows.filter(F.col("key").between(low, high)).agg(F.count("*"), F.sum("m")).first()
+    assert tuple(found.first()) == tuple(want)
+    assert tuple(planner.range_aggregate(cube, "m", high, low).first()) == (0, 0)
