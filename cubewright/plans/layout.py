@@ -100,6 +100,6 @@ _SIDECARS: dict[str, DataFrame | None] = {}
 def sidecar(cube: Cube) -> DataFrame | None:
     """The statistics as a local table, read once: tests on them run no job. None where there are more than ``SIDECAR_BLOCKS``."""
     if cube.path not in _SIDECARS:
-        rows = cube.stats.limit(SIDECAR_BLOCKS + 1).collect()
-        _SIDECARS[cube.path] = cube.spark.createDataFrame(rows, cube.stats.schema) if len(rows) <= SIDECAR_BLOCKS else None
+        rows = cube.stats.limit(SIDECAR_BLOCKS + 1).toArrow()  # comes back as a local relation, not as a job
+        _SIDECARS[cube.path] = cube.spark.createDataFrame(rows) if rows.num_rows <= SIDECAR_BLOCKS else None
     return _SIDECARS[cube.path]

@@ -62,15 +62,25 @@ def range_aggregate(cube: Cube, dim: str, low: int, high: int) -> DataFrame:
     return _sum_up_joined(cube, cube.stats.filter(touched), inside, dim, where) if found is None else found
 
 
+def _marked(cube: Cube, where: PredicateSet) -> list | None:
+    """n, file, and whether the set may and must hold, of every block of a local sidecar; no job runs."""
+    local = sidecar(cube)
+    if local is None:
+        return None
+    return local.select("n", "file", F.coalesce(where.may_hold(), F.lit(False)).alias("may"), F.coalesce(where.must_hold(), F.lit(False)).alias("must")).collect()
+
+
 def plan(cube: Cube, where: PredicateSet, worth: float = WORTH) -> Plan:
     """Count what the statistics say about a predicate set."""
-    may, must = where.may_hold(), where.must_hold()
-    local = sidecar(cube)
-    if local is not None:
-        got = local.select("n", F.coalesce(may, F.lit(False)).alias("may"), F.coalesce(must, F.lit(False)).alias("must")).collect()  # no job
+    return _plan(cube, where, worth, _marked(cube, where))
+
+
+def _plan(cube: Cube, where: PredicateSet, worth: float, got: list | None) -> Plan:
+    if got is not None:
         r = {"rows": sum(x["n"] for x in got), "blocks": len(got), "left": sum(x["n"] for x in got if x["may"])}
         r |= {"contained": sum(x["may"] and x["must"] for x in got), "scanned": sum(x["may"] and not x["must"] for x in got)}
     else:
+        may, must = where.may_hold(), where.must_hold()
         r = cube.stats.agg(
             F.sum("n").alias("rows"), F.count("*").alias("blocks"),
             F.count_if(may & must).alias("contained"), F.count_if(may & ~must).alias("scanned"), F.sum(F.when(may, F.col("n")).otherwise(0)).alias("left")).first()
@@ -82,12 +92,12 @@ def plan(cube: Cube, where: PredicateSet, worth: float = WORTH) -> Plan:
 def search(cube: Cube, where: PredicateSet, worth: float = WORTH) -> DataFrame:
     """Rows that satisfy the set: from listed blocks if the statistics skip enough, else by a filtered scan of all."""
     rows = cube.rows.filter(where.column(cube.schema))
-    p = plan(cube, where, worth)
+    got = _marked(cube, where)
+    p = _plan(cube, where, worth, got)
     if p.strategy == "scan":
         return rows
-    local = sidecar(cube)
-    if local is not None and p.contained + p.scanned <= LISTED:
-        return cube.blocks([r[0] for r in local.filter(where.may_hold()).select("file").collect()]).filter(where.column(cube.schema))
+    if got is not None and p.contained + p.scanned <= LISTED:
+        return cube.blocks([r["file"] for r in got if r["may"]]).filter(where.column(cube.schema))
     return rows.join(cube.stats.filter(where.may_hold()).select("block_id"), "block_id", "left_semi")
 
 
