@@ -151,15 +151,16 @@ def classify(docs: DataFrame, known: dict[str, list[int]], top: int = 300) -> Da
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(score, "doc_id long, lang_pred string, score double")
 
 
-def learn(docs: DataFrame, each: int = 2000, top: int = 300) -> dict[str, list[int]]:
-    """Profiles from some ``each`` documents of a language (all, if there are fewer); never from the held-out fold.
+def learn(docs: DataFrame, each: int = 2000, top: int = 300, languages: int = 1000) -> dict[str, list[int]]:
+    """Profiles from some ``each`` documents of a language (all, if there are fewer); never from the held-out fold. At most the
+    ``languages`` values of lang with the most documents are learnt (ties: first name).
 
     A language's documents are drawn by a hash of the id against ``each`` over their count, so the draw needs no sort and is
     the same however the rows lie. The bound is on what the profiles are fitted on. Rows of null lang, null id or null text
     teach nothing.
     """
     own = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"))
-    counts = docs.select("doc_id", "lang").filter(own).groupBy("lang").agg(F.count("*").alias("of"))
+    counts = docs.select("doc_id", "lang").filter(own).groupBy("lang").agg(F.count("*").alias("of")).orderBy(F.desc("of"), "lang").limit(languages)
     drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30)) * F.col("of") < F.lit(each << 30)
     rows = docs.select("doc_id", "lang", "text").filter(own & F.col("text").isNotNull())
     return profiles(rows.join(F.broadcast(counts), "lang").filter(drawn), top)  # counts: one row a language

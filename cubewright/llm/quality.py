@@ -153,7 +153,7 @@ class Gam:
 def learn(docs: DataFrame, labels: DataFrame, each: int = 10_000) -> Gam:
     """Fit on some ``each`` labelled rows of either class (all, if there are fewer), drawn by a hash of the id; never from the held-out fold.
 
-    Only features reach the driver. Labels of null id or of another value than 0 and 1 teach nothing.
+    Only features reach the driver, of at most 4 * ``each`` rows (a drawn id may be that of many rows). Labels of null id or of another value than 0 and 1 teach nothing.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"))).distinct()
@@ -167,7 +167,7 @@ def learn(docs: DataFrame, labels: DataFrame, each: int = 10_000) -> Gam:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")  # known: some 2 * each rows
-    got = own.mapInArrow(rows, "doc_id long, quality int, x array<double>").toPandas().sort_values(["doc_id", "quality"], kind="stable")
+    got = own.mapInArrow(rows, "doc_id long, quality int, x array<double>").limit(4 * each).toPandas().sort_values(["doc_id", "quality"], kind="stable")
     x = np.array(got["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     return Gam().fit(x, got["quality"].to_numpy(dtype=float))
 

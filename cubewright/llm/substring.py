@@ -216,7 +216,7 @@ def _with_ranges(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
     lists = found.groupBy(F.col("doc_id").alias(f"{name}_id")).agg(F.sort_array(F.collect_list(F.struct("first", "last", "seen_in", "kind"))).alias(name))  # a document's own ranges
     lists = materialize(lists, "ss-lists")
     discard(found)
-    few = lists.count() <= 200_000
+    few = (lists.agg(F.sum(F.size(name) + 1)).first()[0] or 0) <= 200_000  # ranges, some 40 bytes each
     return docs.join(F.broadcast(lists) if few else lists, docs["doc_id"].cast("long") == F.col(f"{name}_id"), "left").drop(f"{name}_id")
 
 
