@@ -17,6 +17,8 @@ BANDS, ROWS = 14, 3
 _FLIP, _TIMES = random_words(BANDS * ROWS, 31), random_words(BANDS * ROWS, 37) | U(1)
 #: Runs of words meet in the bucket of their least WINDOW-word window, which neighbouring runs mostly share.
 WINDOW = 16
+#: Ranges to be removed, some 40 bytes each, that a broadcast may hold; with more, the texts are shuffled by their ids.
+BROADCAST_RANGES = 1_000_000
 #: Runs of words that a map task compares at a time.
 MOST_RUNS = 1 << 18
 
@@ -216,7 +218,7 @@ def _with_ranges(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
     lists = found.groupBy(F.col("doc_id").alias(f"{name}_id")).agg(F.sort_array(F.collect_list(F.struct("first", "last", "seen_in", "kind"))).alias(name))  # a document's own ranges
     lists = materialize(lists, "ss-lists")
     discard(found)
-    few = (lists.agg(F.sum(F.size(name) + 1)).first()[0] or 0) <= 200_000  # ranges, some 40 bytes each
+    few = (lists.agg(F.sum(F.size(name) + 1)).first()[0] or 0) <= BROADCAST_RANGES
     return docs.join(F.broadcast(lists) if few else lists, docs["doc_id"].cast("long") == F.col(f"{name}_id"), "left").drop(f"{name}_id")
 
 
