@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import buckets_for, discard, free_shuffles, join_ids, materialize, ship, small_batches
 from .neardup import ROWS_DDL, exchange, linked_components, node_hash, node_rows, packed, packed_repeats, to_rows
@@ -17,7 +19,7 @@ BANDS, ROWS = 14, 3
 _FLIP, _TIMES = random_words(BANDS * ROWS, 31), random_words(BANDS * ROWS, 37) | U(1)
 #: Runs of words meet in the bucket of their least WINDOW-word window, which neighbouring runs mostly share.
 WINDOW = 16
-#: Ranges to be removed, some 40 bytes each, that a broadcast may hold; with more, the texts are shuffled by their ids.
+#: Ranges to be removed, some 40 bytes each, that a broadcast may hold; with more, the texts, compressed, are shuffled by their ids.
 BROADCAST_RANGES = 1_000_000
 #: Runs of words that a map task compares at a time.
 MOST_RUNS = 1 << 18
@@ -181,11 +183,28 @@ def _cut_out(batches):
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(out, pa.string())], ["node", "text"])
 
 
+def _squeezed(batches, text: str):
+    """Batches with each text as a Zstandard frame."""
+    c = zstandard.ZstdCompressor()
+    for b in batches:
+        at = b.schema.get_field_index(text)
+        frames = [None if t is None else c.compress(t) for t in b.column(at).cast(pa.binary()).to_pylist()]
+        yield b.set_column(at, text, pa.array(frames, pa.binary()))
+
+
+def _plain(col: pa.Array) -> pa.Array:
+    """Texts, out of their frames if they are in some."""
+    if not pa.types.is_binary(col.type):
+        return col
+    d = zstandard.ZstdDecompressor()
+    return pa.array([None if t is None else d.decompress(t) for t in col.to_pylist()], pa.binary()).cast(pa.string())
+
+
 def _rewrite(batches, columns: list[str], text: str, ranges: str, stats: bool):
     """Cut the word ranges out of the texts, each with the white space behind it."""
     for b in (batch.slice(i, 1000) for batch in batches for i in range(0, batch.num_rows, 1000)):
         todo = b.column(ranges).to_pylist()
-        col = b.column(text)
+        col = _plain(b.column(text))
         new, words, gone = [], [], []
         for start, stop, buf, offs in chunks(col):
             w = Words(buf, offs, NOT_SPACE)
@@ -215,11 +234,20 @@ def _rewrite(batches, columns: list[str], text: str, ranges: str, stats: bool):
 
 
 def _with_ranges(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    lists = found.groupBy(F.col("doc_id").alias(f"{name}_id")).agg(F.sort_array(F.collect_list(F.struct("first", "last", "seen_in", "kind"))).alias(name))  # a document's own ranges
+    """``docs`` with each document's ranges as column ``name``; ``text`` is compressed where it had to be shuffled.
+
+    The side that is built into hash tables is the ranges, so texts are neither sorted nor held; a hot id or null ids are split by AQE.
+    """
+    key = f"{name}_id"
+    lists = found.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_set(F.struct("first", "last", "seen_in", "kind"))).alias(name))  # a document's own ranges
     lists = materialize(lists, "ss-lists")
     discard(found)
-    few = (lists.agg(F.sum(F.size(name) + 1)).first()[0] or 0) <= BROADCAST_RANGES
-    return docs.join(F.broadcast(lists) if few else lists, docs["doc_id"].cast("long") == F.col(f"{name}_id"), "left").drop(f"{name}_id")
+    if (lists.agg(F.sum(F.size(name) + 1)).first()[0] or 0) <= BROADCAST_RANGES:
+        lists = F.broadcast(lists)
+    else:
+        frames = StructType([StructField(f.name, BinaryType()) if f.name == "text" else f for f in docs.schema])
+        docs, lists = docs.mapInArrow(lambda it: _squeezed(it, "text"), frames), lists.hint("shuffle_hash")
+    return docs.join(lists, docs["doc_id"].cast("long") == F.col(key), "left").drop(key)
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = 50, k: int = 5, per_cent: int = 80) -> DataFrame:
@@ -245,7 +273,7 @@ def stage_substrings(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     name = "ranges" + "_" * max(len(c) for c in docs.columns)
     at = _with_ranges(docs, find_repeats(docs), name)
     columns = [*docs.columns, name]
-    out = at.mapInArrow(lambda it: _rewrite(it, columns, "text", name, False), at.schema)
+    out = at.mapInArrow(lambda it: _rewrite(it, columns, "text", name, False), StructType([*docs.schema, at.schema[name]]))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(name) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

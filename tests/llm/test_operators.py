@@ -140,6 +140,16 @@ def test_substrings_odd(odd_docs, no_docs):
     assert substring.dedup_substrings(no_docs).count() == 0
 
 
+def test_substrings_without_a_broadcast(spark, docs, odd_docs, no_docs, monkeypatch):
+    """Both ways to bring ranges and texts together give the same rows, whatever the texts and further columns."""
+    both = []
+    for limit in (substring.BROADCAST_RANGES, 0):
+        monkeypatch.setattr(substring, "BROADCAST_RANGES", limit)
+        done = [substring.dedup_substrings(docs), substring.dedup_substrings(odd_docs), *(substring.stage_substrings(spark, d, None) for d in (docs, odd_docs, no_docs))]
+        both.append([(df.columns, sorted(map(str, df.collect()))) for df in done])
+    assert both[0] == both[1] and both[0][3][0] == odd_docs.columns
+
+
 def test_substrings_of_one_short_document(spark):
     for n in range(1, 40):
         w = tokens.Words(np.frombuffer(b"word " * n, np.uint8), np.array([0, 5 * n]), tokens.NOT_SPACE)
