@@ -20,7 +20,7 @@ _FLIP, _TIMES = random_words(BANDS * ROWS, 31), random_words(BANDS * ROWS, 37) |
 #: Runs of words meet in the bucket of their least WINDOW-word window, which neighbouring runs mostly share.
 WINDOW = 16
 #: Ranges to be removed, some 40 bytes each, that a broadcast may hold; with more, the texts, compressed, are shuffled by their ids.
-BROADCAST_RANGES = 1_000_000
+BROADCAST_RANGES = 50_000
 #: Runs of words that a map task compares at a time.
 MOST_RUNS = 1 << 18
 
