@@ -30,7 +30,7 @@ STAGES = [
     ("packing", _shipped(stage_packing)),
 ]
 
-#: SQL can't express the stages; tests hold the operators below them against brute force, not the stages.
+#: SQL can't express the stages; tests hold each stage against a plain version, on given and on odd rows.
 ORACLE_SQL = None
 
 

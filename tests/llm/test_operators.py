@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cubewright.llm import decontaminate, langid, multiindex, neardup, packing, partenum, quality, queries, sharding, substring, tokens, urlfilter, warc
-from tests_llm_help import ALNUM, SPACED, groups, same, shingles, words
+from tests_llm_help import SPACED, benchmark_windows, groups, hits, same, shingles, words
 
 
 def held(i):
@@ -246,22 +246,10 @@ def test_traverse_goes_by_sum():
 
 
 def test_decontaminate(spark, docs, data):
-    items = spark.read.parquet(f"{data}/benchmark.parquet").collect()
-    windows = defaultdict(set)
-    for r in items:
-        w = words(r["text"], ALNUM)
-        k = min(13, len(w))
-        for a in range(len(w) - k + 1 if k else 0):
-            windows[tuple(w[a : a + k])].add(r["item_id"])
-    lengths = sorted({len(x) for x in windows})
+    windows = benchmark_windows(spark.read.parquet(f"{data}/benchmark.parquet").collect())
     got = {r["doc_id"]: r for r in decontaminate.report(docs, spark.read.parquet(f"{data}/benchmark.parquet")).collect()}
     for d in docs.collect():
-        w, hit, found = words(d["text"], ALNUM), set(), set()
-        for k in lengths:
-            for a in range(len(w) - k + 1):
-                if x := windows.get(tuple(w[a : a + k])):
-                    hit |= set(range(a, a + k))
-                    found |= x
+        w, hit, found = hits(d["text"], windows)
         r = got[d["doc_id"]]
         sha = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (len(w), len(hit), len(found), sha, bool(hit) and 20 * len(hit) >= len(w))
