@@ -27,6 +27,13 @@ def group_checksum(groups: dict[int, int]) -> int:
     return out
 
 
+def group_term(group: str, total: str) -> Column:
+    """(group * multiplier) XOR total in 64 bits, as a BIGINT; XOR it over groups, for what ``group_checksum`` says. Groups are below 2^31."""
+    low = F.col(group).cast("long") * F.lit(GOLDEN & 0xFFFFFFFF)
+    high = F.col(group).cast("long") * F.lit(GOLDEN >> 32) + F.shiftrightunsigned(low, 32)
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(0xFFFFFFFF))).bitwiseXOR(F.col(total))
+
+
 def results_match(count_a: int, sum_a: float, xor_a: int, count_b: int, sum_b: float, xor_b: int) -> bool:
     """Counts and checksums are equal and sums are within 1 or a millionth."""
     return count_a == count_b and xor_a == xor_b and abs(sum_a - sum_b) <= max(1.0, 1e-6 * abs(sum_a))

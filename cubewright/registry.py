@@ -10,8 +10,9 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions.checksum import group_term
 from .functions.predicates import Predicate, PredicateSet, any_of, between, eq, isin
-from .functions.schema import CubeSchema
+from .functions.schema import CubeSchema, Dimension
 from .operators import aggregates, analytics, mutations, scan, txn
 from .plans import layout, planner, stats
 from .sources.cube import SCHEMA, cube_view, stored_cube
@@ -204,6 +205,27 @@ def _(spark, d):
     return rows.select("value", *[dims(n).decode_int(SCHEMA.extract(n)).alias(n) for n in ("year", "month", "day")], dims("price").decode_float(SCHEMA.extract("price")).alias("price"))
 
 
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD")  # a fifth one is left out, to be unknown
+
+
+@query("string_dictionary", f"""SELECT code, zero_code, CASE WHEN code IS NOT NULL THEN c_mktsegment END AS label, n FROM (
+  SELECT c_mktsegment, count(*) n, cast(nullif(list_position({list(_SEGMENTS)}, c_mktsegment), 0) - 1 AS bigint) code, cast(greatest(coalesce(list_position({list(_SEGMENTS)}, c_mktsegment), 0) - 1, 0) AS bigint) zero_code
+  FROM customer GROUP BY c_mktsegment)""")
+def _(spark, d):
+    """Labels to codes and back; an unknown label is NULL, or 0 where a store has no other answer."""
+    dim = Dimension("segment", 5, labels=_SEGMENTS)
+    by = spark.read.parquet(f"{d}/customer.parquet").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    codes = by.select(dim.encode_string(F.col("c_mktsegment")).alias("code"), dim.encode_string(F.col("c_mktsegment"), True).alias("zero_code"), "n")
+    return codes.withColumn("label", dim.decode_string(F.col("code")))
+
+
+@query("group_checksum", """SELECT CASE WHEN x >= 9223372036854775808 THEN cast(cast(x AS hugeint) - 18446744073709551616 AS bigint) ELSE cast(x AS bigint) END chk FROM (
+  SELECT bit_xor(xor(cast((cast(state AS hugeint) * 11400714819323198485) % 18446744073709551616 AS ubigint), cast(sp AS ubigint))) x FROM (SELECT state, sum(price) sp FROM cube GROUP BY state))""")
+def _(spark, d):
+    sums = _rows(spark, d).groupBy("state").agg(F.sum("price").alias("sp"))
+    return sums.agg(F.bit_xor(group_term("state", "sp")).alias("chk"))
+
+
 @query("extract_dim", "SELECT state, product, count(*) n FROM cube GROUP BY state, product")
 def _(spark, d):
     rows = _rows(spark, d).select(SCHEMA.extract("state").alias("state"), SCHEMA.extract("product").alias("product"))
@@ -447,6 +469,20 @@ def _(spark, d):
     return stats.block_betas(by_state).select("block_id", "n", "beta")
 
 
+@query("beta_thresholds", f"""SELECT strategy, round(ln(threshold), 9) ln_threshold FROM (SELECT unnest([
+    {{'strategy': 'arithmetic_mean', 'threshold': greatest(0.1 * (hi - lo) * (hi - lo) / (4 * lo * hi), {stats.LEAST_THRESHOLD!r})}},
+    {{'strategy': 'median', 'threshold': greatest(0.001 * middle, {stats.LEAST_THRESHOLD!r})}},
+    {{'strategy': 'stddev_2x', 'threshold': greatest(2 * spread, {stats.LEAST_THRESHOLD!r})}},
+    {{'strategy': 'stddev_6x', 'threshold': greatest(6 * spread, {stats.LEAST_THRESHOLD!r})}},
+    {{'strategy': 'fixed_strict', 'threshold': 1e-6}}], recursive := true)
+  FROM (SELECT min(k) lo, max(k) hi, quantile_disc(k, 0.5) middle, stddev_pop(k) spread FROM (SELECT key::double k FROM cube)))""")
+def _(spark, d):
+    """Logarithms of the bounds; ``adaptive_local`` has the bound 0 and no logarithm."""
+    rows = _rows(spark, d)
+    bounds = [(name, stats.beta_threshold(rows, name)) for name in stats.STRATEGIES if name != "adaptive_local"]
+    return spark.createDataFrame(bounds, "strategy string, threshold double").select("strategy", F.round(F.ln("threshold"), 9).alias("ln_threshold"))
+
+
 @query("statistics", None)
 def _(spark, d):
     return stats.statistics(stored_cube(spark, d))
